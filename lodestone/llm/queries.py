@@ -29,13 +29,25 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_bpe import encode
 
     return encode(_read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), digest=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op5_exact_dedup": op5_exact_dedup, "op8_byte_bpe": op8_byte_bpe}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op5_exact_dedup": op5_exact_dedup, "op7_language_id": op7_language_id, "op8_byte_bpe": op8_byte_bpe, "op9_ngram_join": op9_ngram_join}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": """
