@@ -130,3 +130,29 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 def _told(rows: DataFrame, least: DataFrame, spark: SparkSession) -> DataFrame:
     """rows (u, v) with the m of their u; hubs, whose rows are many, by broadcast."""
     return attach(rows, table(least, "cc-least"), ["u"], "n", "inner")
+
+
+FILTER_PLACES = 1 << 21
+
+
+def retain(docs: DataFrame, key: Column, contested: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with docs' own columns.
+
+    contested (key, keeper, n): keys of which at most one row stays, that with doc_id `keeper` (none
+    where `keeps` is false); n is the number of rows of the key. A broadcast filter of at most
+    FILTER_PLACES places lets all rows of other keys pass where they are; only rows that may be
+    contested are joined.
+    """
+    names = docs.columns
+    free = {n.lower() for n in names}
+    k, p, w, keeps, n = (next(c for c in (f"_{x}{i}" for i in range(99)) if c not in free) for x in ("key", "place", "keeper", "keeps", "n"))
+    facts = contested.select(F.col("key").alias(k), F.col("keeper").alias(w), F.col("keeps").alias(keeps), F.col("n").alias(n))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_PLACES))
+    places = F.broadcast(facts.select(place(k).alias(p)).distinct())
+    rows = docs.withColumn(k, key).withColumn(p, place(k))
+    clear = rows.join(places, p, "left_anti").select(*names)
+    maybe = rows.join(places, p, "left_semi").drop(p)
+    joined = attach(maybe, facts, [k], n)
+    free_rows = joined.where(F.col(n).isNull()).select(*names)
+    chosen = joined.where(F.coalesce(keeps, F.lit(False)) & F.col("doc_id").cast("long").eqNullSafe(F.col(w))).dropDuplicates([k]).select(*names)
+    return union([clear, free_rows, chosen])

@@ -221,3 +221,10 @@ def exact_duplicates(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
     facts = base.table(many.join(owners, "text_sha256").select("_length", "text_sha256", "_n", "_keep_row", ok.alias("_owner"), "copies"), "dedup-owners")
     out = base.attach(rows, facts, ["_length", "text_sha256"], "_n")
     return out.select("doc_id", F.when(F.col("_n").isNull(), F.col("doc_id")).otherwise(F.col("_owner")).alias("keep_id"), F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("_row") == F.col("_keep_row"), F.lit(True)).alias("kept"), "text_sha256")
+
+
+def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
+    """docs without the copies that exact_duplicates() doesn't keep."""
+    found = exact_duplicates(docs).where("kept and group_size > 1")
+    contested = base.table(found.select(F.unhex("text_sha256").alias("key"), F.col("doc_id").alias("keeper"), F.lit(True).alias("keeps"), F.col("group_size").alias("n")), "contested")
+    return base.retain(docs, F.unhex(F.sha2(base.text_of().cast("binary"), 256)), contested)

@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import base
 from . import kernels as K
@@ -137,7 +138,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], alpha: float = 0.5, beta
 def train(docs: DataFrame, usable: Column, per_language: int = 800) -> Model:
     """The model of docs (doc_id, text, lang) whose `usable` holds and whose lang and text aren't null."""
     base.ship(docs.sparkSession)
-    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_order", F.xxhash64(F.col("doc_id"), F.lit(7)))
+    rows = docs.select("doc_id", "text", "lang").where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_order", F.xxhash64(F.col("doc_id"), F.lit(7)))
     found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if not found:
         return fit([])
@@ -165,13 +166,13 @@ def train(docs: DataFrame, usable: Column, per_language: int = 800) -> Model:
     return fit(rows_)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text and more) with lang_pred and score."""
+def predict(docs: DataFrame, model: Model, pred: str = "lang_pred", chance: str = "score") -> DataFrame:
+    """docs (text and more) with the language and its calibrated probability, in columns of the given names; docs must not have them."""
     base.ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most PLACES rows of MOST_LANGUAGES weights
-    clash = {"lang_pred", "score"} & set(docs.columns)
-    docs = docs.drop(*clash)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
+    if {pred, chance} & set(docs.columns):
+        raise ValueError(f"the table has a column {pred} or {chance} already")
+    schema = T.StructType([*docs.schema, T.StructField(pred, T.StringType()), T.StructField(chance, T.DoubleType())])
     place = docs.columns.index("text")
 
     def run(batches):
@@ -197,7 +198,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 best = s.argmax(axis=1)
                 lang[lo + some] = best
                 score[lo + some] = 1.0 / e.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[lang], pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[lang], pa.string()), pa.array(score)], [*batch.schema.names, pred, chance])
 
     return docs.mapInArrow(run, schema)
 
@@ -208,6 +209,15 @@ def held_out(mod: int = 4, rest: int = 2) -> Column:
 
 
 def identify(docs: DataFrame, per_language: int = 800) -> DataFrame:
-    """docs with lang_pred, score and held_out; learned from the rows that aren't held out."""
+    """doc_id, held_out, lang_pred, score of docs (doc_id, text, lang); learned from the rows that aren't held out."""
     usable = ~held_out() & F.col("doc_id").isNotNull()
-    return predict(docs, train(docs, usable, per_language)).withColumn("held_out", held_out())
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return predict(rows, train(docs, usable, per_language)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def accept(docs: DataFrame, least: float = 0.5, per_language: int = 800) -> DataFrame:
+    """The rows of docs whose language is told with at least that probability, with docs' own columns."""
+    free = {n.lower() for n in docs.columns}
+    pred, chance = (next(c for c in (f"_{x}{i}" for i in range(99)) if c not in free) for x in ("pred", "chance"))
+    judged = predict(docs, train(docs, ~held_out() & F.col("doc_id").isNotNull(), per_language), pred, chance)
+    return judged.where((F.col(pred) != "und") & (F.col(chance) >= least)).select(*docs.columns)

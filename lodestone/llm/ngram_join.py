@@ -207,13 +207,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataF
     return made.join(keys, "key").dropDuplicates(["node"]).select("node", "grams")
 
 
-def near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.98) -> DataFrame:
-    """doc_id, class_id, n_copies, n_links, group_id, kept of every row of docs (doc_id, text).
-
-    class_id: the smallest doc_id with the same text; n_copies: rows with that text; n_links: other
-    texts of Jaccard similarity >= threshold; group_id: the smallest doc_id of the group that links
-    and copies connect; kept: true for one row of each group.
-    """
+def _classes(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Tables of all rows (doc_id, key, _row and more), and of their classes with links and groups."""
     spark = docs.sparkSession
     base.ship(spark)
     bands, rows = banding(threshold, recall)
@@ -233,8 +228,27 @@ def near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall:
     groups = base.components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     known = nodes.select("node", "_id", "key", "n_copies").join(degree, "node", "left").join(groups, "node", "left").withColumn("_group", F.coalesce("component", "node"))
     least = known.groupBy("_group").agg(F.min(F.struct("_id", "node")).alias("_least"))
-    facts = base.table(known.join(least, "_group").select("key", F.col("_id").alias("class_id"), F.col("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("_least._id").alias("group_id"), F.col("_least.node").alias("_stays")), "near-facts")
+    facts = base.table(known.join(least, "_group").select("key", "node", F.col("_id").alias("class_id"), F.col("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("_least._id").alias("group_id"), F.col("_least.node").alias("_stays")), "near-facts")
     base.drop_table(sets)
-    out = base.attach(found.select("doc_id", "key", "_row"), facts, ["key"], "n_copies")
+    return found, facts
+
+
+def near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.98) -> DataFrame:
+    """doc_id, class_id, n_copies, n_links, group_id, kept of every row of docs (doc_id, text).
+
+    class_id: the smallest doc_id with the same text; n_copies: rows with that text; n_links: other
+    texts of Jaccard similarity >= threshold; group_id: the smallest doc_id of the group that links
+    and copies connect; kept: true for one row of each group.
+    """
+    found, facts = _classes(docs, n, threshold, recall)
+    out = base.attach(found.select("doc_id", "key", "_row"), facts.drop("node"), ["key"], "n_copies")
     real = lambda c: F.when(F.col(c) < 2**63 - 1, F.col(c)).alias(c)
     return out.select("doc_id", real("class_id"), "n_copies", "n_links", real("group_id"), (F.col("_row") == F.col("_stays")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.98) -> DataFrame:
+    """docs with one row of each group of near duplicates: that with the smallest doc_id."""
+    _, facts = _classes(docs, n, threshold, recall)
+    facts = facts.where("n_copies > 1 or node <> _stays")
+    contested = base.table(facts.select("key", F.when(F.col("class_id") < 2**63 - 1, F.col("class_id")).alias("keeper"), (F.col("node") == F.col("_stays")).alias("keeps"), F.col("n_copies").alias("n")), "contested")
+    return base.retain(docs, F.unhex(F.md5(base.text_of().cast("binary"))), contested)

@@ -32,7 +32,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify
 
-    return identify(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(_read(spark, sf_dir, "documents"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,13 +41,19 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_vectors
+
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .byte_bpe import encode
 
     return encode(_read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), digest=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op5_exact_dedup": op5_exact_dedup, "op7_language_id": op7_language_id, "op8_byte_bpe": op8_byte_bpe, "op9_ngram_join": op9_ngram_join}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op5_exact_dedup": op5_exact_dedup, "op7_language_id": op7_language_id, "op8_byte_bpe": op8_byte_bpe, "op9_ngram_join": op9_ngram_join, "op10_embedding_dedup": op10_embedding_dedup}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": """
