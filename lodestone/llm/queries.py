@@ -23,6 +23,12 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import train_and_score
+
+    return train_and_score(_read(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_duplicates
 
@@ -53,7 +59,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), digest=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op5_exact_dedup": op5_exact_dedup, "op7_language_id": op7_language_id, "op8_byte_bpe": op8_byte_bpe, "op9_ngram_join": op9_ngram_join, "op10_embedding_dedup": op10_embedding_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op4_lm_score": op4_lm_score, "op5_exact_dedup": op5_exact_dedup, "op7_language_id": op7_language_id, "op8_byte_bpe": op8_byte_bpe, "op9_ngram_join": op9_ngram_join, "op10_embedding_dedup": op10_embedding_dedup}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": """
