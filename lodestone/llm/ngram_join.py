@@ -29,6 +29,7 @@ WORD = K.mask_of([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 #: Members of a bucket that are paired in one go.
 BLOCK = 512
 FILTER_PLACES = 1 << 21
+COMPONENT_BLOCK = 1024
 
 
 def banding(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
@@ -207,6 +208,54 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataF
     return made.join(keys, "key").dropDuplicates(["node"]).select("node", "grams")
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs (a, b) those whose full sets (node, grams) reach the threshold.
+
+    Pairs that hang together are verified in one place, so a set is sent there once, not once a pair.
+    Larger components are cut in blocks of about COMPONENT_BLOCK nodes, a task for each two blocks
+    that have pairs.
+    """
+    spark = pairs.sparkSession
+    homes = base.components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    sizes = homes.groupBy("component").agg(F.count("*").alias("_n"))
+    homes = base.attach(homes, base.table(sizes, "component-sizes"), ["component"], "_n", "inner")
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / F.lit(COMPONENT_BLOCK)).cast("long"))
+    homes = base.table(homes.select("node", "component", block.cast("int").alias("block")), "homes")
+    of_a = homes.select(F.col("node").alias("a"), F.col("component").alias("c"), F.col("block").alias("_x"))
+    of_b = homes.select(F.col("node").alias("b"), F.col("block").alias("_y"))
+    placed = base.table(pairs.join(of_a, "a").join(of_b, "b").select("c", F.least("_x", "_y").alias("i"), F.greatest("_x", "_y").alias("j"), "a", "b"), "placed-pairs")
+    ends = placed.select("c", "i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
+    rows = ends.join(sets, "node").select("c", "i", "j", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
+    rows = rows.unionByName(placed.select("c", "i", "j", "a", "b", F.lit(None).cast("array<long>").alias("grams")))
+    order = ["c", "i", "j"]
+    rows = rows.repartition(base.parts(spark), *order).sortWithinPartitions(*order, "b")  # sets, whose b is null, come first
+
+    def run(batches):
+        group, held = None, {}
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in order), strict=True))
+            a, b, grams = batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("grams")
+            out_a, out_b = [], []
+            for r, key in enumerate(keys):
+                if key != group:
+                    group, held = key, {}
+                if b[r] is None:
+                    held[a[r]] = grams[r].values.to_numpy().view(np.uint64)
+                    continue
+                x, y = held[a[r]], held[b[r]]
+                if len(x) > len(y):
+                    x, y = y, x
+                at = np.searchsorted(y, x)
+                at[at == len(y)] = 0
+                common = int((y[at] == x).sum())
+                if common >= threshold * (len(x) + len(y) - common):
+                    out_a.append(a[r])
+                    out_b.append(b[r])
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def _classes(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
     """Tables of all rows (doc_id, key, _row and more), and of their classes with links and groups."""
     spark = docs.sparkSession
@@ -219,11 +268,7 @@ def _classes(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[
     pairs = base.table(_candidates(nodes, threshold), "candidates")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = base.table(_sets(docs, nodes.select("node", "key"), wanted, n), "gram-sets")
-    b_sets = sets.select(F.col("node").alias("b"), F.col("grams").alias("_gb"))
-    a_sets = sets.select(F.col("node").alias("a"), F.col("grams").alias("_ga"))
-    both = pairs.join(b_sets, "b").join(a_sets, "a")
-    common = F.size(F.array_intersect("_ga", "_gb"))
-    links = base.table(both.select("a", "b", common.alias("_c"), (F.size("_ga") + F.size("_gb")).alias("_s")).where(F.col("_c") >= threshold * (F.col("_s") - F.col("_c"))).select("a", "b"), "links")
+    links = base.table(_verified(pairs, sets, threshold), "links")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     groups = base.components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     known = nodes.select("node", "_id", "key", "n_copies").join(degree, "node", "left").join(groups, "node", "left").withColumn("_group", F.coalesce("component", "node"))
