@@ -13,6 +13,7 @@ id and the text are not looked at.
 
 from __future__ import annotations
 
+import bisect
 import unicodedata
 import zlib
 
@@ -116,6 +117,57 @@ def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[list[tuple[in
     return out
 
 
+def best_fit_decreasing(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[list[tuple[int, int]], int]]:
+    """A plan like plan()'s: lengths from the largest, each in the fullest bin that takes it. Bins that are alike are dealt with together."""
+    bins: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = {}  # room left: [(content, how many bins)]
+    rooms: list[int] = []
+
+    def put(room: int, content: tuple[tuple[int, int], ...], many: int) -> None:
+        if room not in bins:
+            bins[room] = []
+            bisect.insort(rooms, room)
+        bins[room].append((content, many))
+
+    def fill(room: int, content: tuple[tuple[int, int], ...], many: int, length: int, n: int) -> int:
+        """Puts up to n pieces in these bins; returns how many are left."""
+        each = room // length
+        full = min(many, n // each)
+        rest = min(n - full * each, each) if full < many else 0
+        if full:
+            put(room - each * length, (*content, (length, each)), full)
+        if rest:
+            put(room - rest * length, (*content, (length, rest)), 1)
+        if many - full - bool(rest):
+            put(room, content, many - full - bool(rest))
+        return n - full * each - rest
+
+    for length, n in sorted(counts.items(), reverse=True):
+        at = bisect.bisect_left(rooms, length)
+        while n > 0 and at < len(rooms):
+            room = rooms[at]
+            groups = bins.pop(room)
+            rooms.pop(at)
+            for k, (content, many) in enumerate(groups):
+                if not n:
+                    for c, m in groups[k:]:
+                        put(room, c, m)
+                    break
+                n = fill(room, content, many, length, n)
+            at = bisect.bisect_right(rooms, room) if n else at
+        if n > 0:
+            fill(limit, (), -(-n // (limit // length)), length, n)
+    return [(list(content), many) for groups in bins.values() for content, many in groups]
+
+
+def best_plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[list[tuple[int, int]], int]]:
+    """plan(), or where lengths are so large that the other needs fewer bins, best_fit_decreasing()."""
+    slack = plan(counts, limit)
+    if sum(n for _, n in slack) <= -(-sum(k * n for k, n in counts.items()) // limit):
+        return slack
+    other = best_fit_decreasing(counts, limit)
+    return other if sum(n for _, n in other) < sum(n for _, n in slack) else slack
+
+
 def places(plan_: list[tuple[list[tuple[int, int]], int]]) -> dict[str, np.ndarray]:
     """Per length and interval of ranks: the first bin, how many a bin holds, and the offset of the first of them."""
     rows, used, first_bin = [], {}, 0
@@ -138,7 +190,7 @@ def pack(found: DataFrame, limit: int = LIMIT) -> DataFrame:
     before, so that a length that most pieces have is spread over all tasks.
     """
     histogram = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `limit` rows
-    where = places(plan(histogram, limit))
+    where = places(best_plan(histogram, limit))
     shards = base.parts(found.sparkSession)
     sharded = found.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
     before = Window.partitionBy("length").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
