@@ -260,7 +260,7 @@ class Encoded:
     """The ids of the pre-tokens of a run of rows."""
 
     def __init__(self, store: Words, data: np.ndarray, offsets: np.ndarray, glued: bool):
-        self.data, self.store = data, store
+        self.data, self.offsets, self.store = data, offsets, store
         self.starts, self.ends, self.rows = K.pretokens(data, offsets, glued)
         h = K.hash_spans(data, self.starts, self.ends)
         self.unique, first, self.inverse = np.unique(h, return_index=True, return_inverse=True)

@@ -23,6 +23,18 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan_licenses
+
+    return scan_licenses(_read(spark, sf_dir, "documents"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    return judge(_read(spark, sf_dir, "pages"))
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .kneser_ney import train_and_score
 
@@ -35,6 +47,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op6_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .edit_counts import edited_counts
+
+    return edited_counts(_read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify
 
@@ -59,7 +77,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_read(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), digest=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op4_lm_score": op4_lm_score, "op5_exact_dedup": op5_exact_dedup, "op7_language_id": op7_language_id, "op8_byte_bpe": op8_byte_bpe, "op9_ngram_join": op9_ngram_join, "op10_embedding_dedup": op10_embedding_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack, "op2_license_scan": op2_license_scan, "op3_url_filter": op3_url_filter, "op4_lm_score": op4_lm_score, "op5_exact_dedup": op5_exact_dedup, "op6_edit_counts": op6_edit_counts, "op7_language_id": op7_language_id, "op8_byte_bpe": op8_byte_bpe, "op9_ngram_join": op9_ngram_join, "op10_embedding_dedup": op10_embedding_dedup}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_exact_dedup": """
