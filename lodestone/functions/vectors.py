@@ -41,7 +41,7 @@ def cosine(a: Column, b: Column) -> Column:
 def cosine_to(a: Column, query: list[float] | np.ndarray) -> Column:
     """Cosine to one query vector, which goes into the plan as a literal; no join is needed."""
     q = np.asarray(query, dtype=np.float32)
-    norm = float(np.sqrt((q.astype(np.float64) ** 2).sum()))
+    norm = float(np.sqrt((q * q).astype(np.float64).sum()))
     if len(q) > WIDE:
         return wide_cosine_to(q)(a)
     literal = F.lit([float(x) for x in q]).cast("array<float>")

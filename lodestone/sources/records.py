@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..errors import OptionError
+from ..functions.vectors import vector_struct
 
 KINDS = {"chunk": S.CHUNK_RECORD, "query": S.QUERY_RECORD, "single": S.SINGLE_RECORD}
 
@@ -30,35 +32,26 @@ def from_json(text: Column, kind: str) -> Column:
     return F.when(text.isNull(), F.lit(None).cast(schema)).when(F.coalesce(version, F.lit(0)) != S.SCHEMA_VERSION, bad).when(F.coalesce(F.octet_length(data) == want, F.lit(False)), record).otherwise(malformed)
 
 
+@F.pandas_udf(S.VECTOR)
+def vector_of(encoded: pd.Series) -> pd.DataFrame:
+    """The record form of a vector envelope."""
+    return pd.DataFrame([vector_struct(bytes(e)) for e in encoded], columns=S.VECTOR.fieldNames())
+
+
 def chunk_record(rows: DataFrame) -> Column:
-    """The record of rows that embed_documents() returns; their encoded vectors as float32."""
-    floats = F.col("vector")
-    data = F.unhex(F.array_join(F.transform(floats, lambda x: _float_hex(x)), ""))
-    none = F.lit(None)
+    """The record of rows that embed_documents() returns."""
     return F.struct(
         F.col("schema_version").alias("schemaVersion"),
-        F.struct(F.lit(S.ENCODING_VERSION).alias("encodingVersion"), F.lit(int(S.VectorFormat.FLOAT32)).alias("format"), F.size(floats).alias("dimensions"), data.alias("data"), none.cast(S.QUANTIZATION).alias("quantization")).alias("vector"),
+        vector_of("encoded").alias("vector"),
         F.struct(F.col("model_id").alias("modelId"), F.col("revision").alias("sourceRevision"), F.col("fingerprint").alias("embeddingSpaceFingerprint"), F.lit(True).alias("isNormalized")).alias("identity"),
         F.struct(F.col("document_tokens").alias("documentTokenCount"), F.struct(F.col("char_start").alias("start"), F.col("char_length").alias("length")).alias("characterRange"), F.struct(F.col("token_start").alias("start"), F.col("token_count").alias("length")).alias("tokenRange"), F.col("token_count").alias("tokenCount"), F.col("token_capacity").alias("tokenCapacity")).alias("source"),
         F.struct(F.col("chunk").alias("index"), F.col("chunks").alias("count"), F.col("boundary").alias("boundaryKind"), F.col("heading_path").alias("headingPath"), F.col("context_tokens").alias("contextTokenCount"), F.lit(0).alias("modelPrefixTokenCount"), F.col("special_tokens").alias("specialTokenCount"), F.col("input_tokens").alias("inputTokenCount")).alias("chunk"),
-        none.cast(S.REDUCTION).alias("dimensionReduction"),
+        F.lit(None).cast(S.REDUCTION).alias("dimensionReduction"),
         F.col("text").alias("text"),
         F.col("context").alias("context"),
     )
 
 
-def _float_hex(x: Column) -> Column:
-    """The little-endian bytes of a float in hexadecimal, by arithmetic on its parts."""
-    a = F.abs(x.cast("double"))
-    exponent = F.floor(F.log2(F.when(a > 0, a)))
-    exponent = F.when(F.pow(F.lit(2.0), exponent) > a, exponent - 1).when(F.pow(F.lit(2.0), exponent + 1) <= a, exponent + 1).otherwise(exponent)
-    biased = F.greatest(exponent + 127, F.lit(0))
-    mantissa = F.when(biased > 0, F.rint((a / F.pow(F.lit(2.0), exponent) - 1) * 8388608)).otherwise(F.rint(a * F.pow(F.lit(2.0), F.lit(149))))
-    bits = F.coalesce(biased * 8388608 + mantissa, F.lit(0.0)).cast("long") + F.when(x < 0, F.lit(2147483648)).otherwise(F.lit(0))
-    h = F.lpad(F.hex(bits), 8, "0")
-    return F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2))
-
-
 def write_records(rows: DataFrame, path: str, mode: str = "error") -> None:
     """Parquet in a folder a space, so that a search of one space reads no other."""
     rows.write.mode(mode).partitionBy("fingerprint").parquet(path)
