@@ -44,4 +44,4 @@ def search_batches(rows: DataFrame, search: Callable[[DataFrame], DataFrame], si
 
 def event_windows(events: DataFrame, ts: str, width: str = "1 hour", lateness: str = "2 hours") -> DataFrame:
     """Counts and sums of arriving events by window and kind; state of windows older than the lateness is let go."""
-    return events.withWatermark(ts, lateness).groupBy(F.window(ts, width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness).groupBy(F.window(ts, width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
