@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import PlanError
+from ..functions import vectors as V
 from ..operators import fusion, lexical, semantic
 from ..operators.filters import Filter, combine, compile_filter, resolver
 from ..options import FusionOptions, LexicalOptions, ScoringOptions
@@ -115,6 +116,40 @@ class Corpus:
     chunk_map: semantic.Chunks | None = None
 
 
+@dataclass(frozen=True)
+class Profile:
+    """How stages retrieve: after which kind of store.
+
+    lexical: bm25, conjunctive (embedded full-text index), frequency (server ranking), field-fusion (a field at a time).
+    preselect: semantic stages take a budget of nearest chunks first, ten times the stage's candidates, and rerank those.
+    """
+
+    name: str = "in-memory"
+    lexical: str = "bm25"
+    preselect: bool = False
+    mode: str = "all"
+    normalization: int = 0
+    rank_constant: float = 60.0
+
+    def lexical_rows(self, items: DataFrame, key: str, text: str, fields: Mapping[str, float], n: int, options: LexicalOptions | None) -> DataFrame:
+        o = replace(options or LexicalOptions(), top=n)
+        if self.lexical == "bm25":
+            return lexical.top(lexical.bm25_scores(items, key, text, fields, o), n).select("key", "score")
+        if self.lexical == "conjunctive":
+            return lexical.conjunctive(items, key, text, fields, o)
+        if self.lexical == "frequency":
+            return lexical.frequency_rank(items, key, text, fields, o, self.mode, self.normalization)
+        if self.lexical == "field-fusion":
+            return lexical.field_fusion(items, key, text, fields, o, self.rank_constant)
+        raise PlanError(f"no lexical profile {self.lexical}")
+
+
+IN_MEMORY = Profile()
+POSTGRES_LIKE = Profile("server", "frequency", True)
+SQLITE_LIKE = Profile("embedded", "conjunctive", True)
+SQL_SERVER_LIKE = Profile("field-ranked", "field-fusion", True)
+
+
 Embed = Callable[[str], semantic.QueryVector]
 
 
@@ -124,7 +159,7 @@ def _chosen(available: tuple[str, ...], fields: Mapping[str, float] | None) -> d
     return {n: w for n, w in fields.items() if w > 0 and n in available}
 
 
-def compile_query(query: SearchQuery, corpus: Corpus, embed: Embed | None = None, scoring: ScoringOptions | None = None, lexical_options: LexicalOptions | None = None) -> DataFrame:
+def compile_query(query: SearchQuery, corpus: Corpus, embed: Embed | None = None, scoring: ScoringOptions | None = None, lexical_options: LexicalOptions | None = None, profile: Profile = IN_MEMORY) -> DataFrame:
     """key, score, first_stage, first_rank, contributions and the items' columns, best first.
 
     The query text is embedded once, and only if a semantic stage is there to use it.
@@ -142,8 +177,7 @@ def compile_query(query: SearchQuery, corpus: Corpus, embed: Embed | None = None
             fields = _chosen(corpus.text_fields, s.fields)
             if not fields:
                 continue
-            scores = lexical.bm25_scores(items, corpus.key, query.text, fields, lexical_options)
-            rows = lexical.top(scores, n).select("key", "score")
+            rows = profile.lexical_rows(items, corpus.key, query.text, fields, n, lexical_options)
         else:
             if corpus.chunks is None or corpus.chunk_map is None or embed is None:
                 raise PlanError("a semantic stage needs chunks and an embedder")
@@ -156,6 +190,9 @@ def compile_query(query: SearchQuery, corpus: Corpus, embed: Embed | None = None
                     weight = F.when(F.col("field") == k, F.lit(float(w))).otherwise(weight)
                 chunk_rows = chunk_rows.withColumn("weight", weight).where(F.col("field").isin(list(weights)) if weights else F.lit(False))
             chunk_rows = chunk_rows.join(items.select(F.col(corpus.key).alias("item")), "item", "left_semi")
+            if profile.preselect:
+                near = V.cosine_to(F.col("vector"), vector.vector)
+                chunk_rows = chunk_rows.where(F.col("fingerprint") == vector.fingerprint).withColumn("_near", near).orderBy(F.col("_near").desc(), "item", "chunk").limit(max(100, 10 * n)).drop("_near")
             scores = semantic.item_scores(chunk_rows, vector, scoring)
             rows = scores.select(F.col("item").alias("key"), "score").orderBy(F.col("score").desc(), "key").limit(n)
         rankings.append(fusion.Ranking(s.name, rows, s.weight))

@@ -14,7 +14,8 @@ from .operators import reduce as R
 from .operators.chunking import WordTokenizer, chunk_documents, count_tokens
 from .operators.embedding import HashingEmbedder, embed_documents, embed_rows
 from .options import CandidateOptions, ChunkOptions, LexicalOptions, SemanticOptions
-from .plans.query import Corpus, SearchQuery, compile_query, lexical_stage, semantic_stage
+from .functions.register import register
+from .plans.query import POSTGRES_LIKE, SQL_SERVER_LIKE, SQLITE_LIKE, Corpus, SearchQuery, compile_query, lexical_stage, semantic_stage
 from .schema import VectorFormat
 from .sources import records
 
@@ -342,9 +343,34 @@ def hybrid_stage_filters(spark, sf):
     return _hybrid(spark, sf, SearchQuery(QUERY).add(semantic_stage().with_candidates(40), lexical_stage().with_weight(0.7).with_candidates(40).where(filters.is_in("lang", ["fr", "de"]))))
 
 
+@query()
+def hybrid_server_profile(spark, sf):
+    out = compile_query(SearchQuery(_BOTH).semantic().lexical(), _corpus(spark, sf), lambda _: _query_vector(spark, sf), profile=POSTGRES_LIKE)
+    return out.select(F.col("key").alias("doc_id"), r6("score").alias("score"))
+
+
+@query()
+def hybrid_embedded_profile(spark, sf):
+    out = compile_query(SearchQuery(_BOTH).semantic().lexical(), _corpus(spark, sf), lambda _: _query_vector(spark, sf), profile=SQLITE_LIKE)
+    return out.select(F.col("key").alias("doc_id"), r6("score").alias("score"))
+
+
+@query()
+def hybrid_field_ranked_profile(spark, sf):
+    out = compile_query(SearchQuery("en the erble").semantic().lexical(), _corpus(spark, sf), lambda _: _query_vector(spark, sf), profile=SQL_SERVER_LIKE)
+    return out.select(F.col("key").alias("doc_id"), r6("score").alias("score"))
+
+
 # Vectors
 
 
+@query("SELECT doc_id, len(regexp_extract_all(text, '\\S+'))::INT AS tokens, 1 + (len(regexp_extract_all(text, '\\S+')) > 100000)::INT AS chunks FROM documents")
+def sql_functions(spark, sf):
+    register(spark)
+    read(spark, sf, "documents").createOrReplaceTempView("lodestone_documents")
+    return spark.sql("SELECT d.doc_id, count_tokens(d.text) AS tokens, max(c.chunks) AS chunks FROM lodestone_documents d, LATERAL chunk_text(d.text, 100000) c GROUP BY d.doc_id, count_tokens(d.text)")
+
+
 def _components(c: str = "v"):
     return F.posexplode(c).alias("i", "x")
 

@@ -194,3 +194,21 @@ def test_approximate_recall(spark, sf):
         hits += len(got & set(ids[np.argsort(-(m @ vectors[i]))[:10]].tolist()))
     assert hits / (10 * len(ids[::50])) >= 0.9
     assert ann.strategy(filters.equal("a", 1)) == "approximate" and ann.strategy(filters.not_equal("a", 1)) == "exact"
+
+
+@pytest.mark.parametrize("name", ["POSTGRES_LIKE", "SQLITE_LIKE", "SQL_SERVER_LIKE"])
+def test_profiles_of_stores(spark, name):
+    from lodestone.plans import query as plans
+
+    q = SearchQuery("backup").where(filters.equal("tenant", 1)).semantic().lexical()
+    rows = compile_query(q, corpus(spark), lambda _: Q, profile=getattr(plans, name)).collect()
+    assert rows[0].key == "backup" and len(rows[0].contributions) == 2 and "other" not in [r.key for r in rows]
+
+
+def test_sql_names(spark):
+    from lodestone.functions.register import register
+
+    assert "chunk_text" in register(spark)
+    r = spark.sql("SELECT vec_cosine(array(1f, 0f), array(0.8f, 0.6f)) AS c, vec_decode(vec_encode(array(1f, 2f), 4)) AS v, size(vec_reduce(array(1f, 2f, 3f), 2)) AS n, count_tokens('a b') AS t").first()
+    assert r.c == pytest.approx(0.8, abs=1e-6) and r.v == [1.0, 2.0] and (r.n, r.t) == (2, 2)
+    assert spark.sql("SELECT * FROM chunk_text('a b c', 2)").count() == 2
