@@ -85,4 +85,25 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY t)""",
+    "op9_ngram_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+c AS (SELECT t, min(doc_id) AS class_id, count(*) AS n_copies FROM d GROUP BY t),
+w AS (SELECT class_id, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM c),
+g AS (SELECT DISTINCT class_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g FROM w),
+n AS (SELECT class_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.class_id AS a, b.class_id AS b, count(*) AS k FROM g a JOIN g b USING (g) WHERE a.class_id <> b.class_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.class_id = a JOIN n y ON y.class_id = b WHERE k >= 0.5 * (x.n + y.n - k)),
+r AS (SELECT class_id, class_id AS reach FROM c UNION SELECT r.class_id, l.b FROM r JOIN l ON l.a = r.reach),
+m AS (SELECT class_id, min(reach) AS group_id FROM r GROUP BY 1),
+f AS (SELECT a AS class_id, count(*) AS n_links FROM l GROUP BY 1)
+SELECT doc_id, class_id, n_copies, coalesce(n_links, 0) AS n_links, group_id, doc_id = group_id AS kept
+FROM d JOIN c USING (t) JOIN m USING (class_id) LEFT JOIN f USING (class_id)""",
+    "op10_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE a.norm > 0 AND b.norm > 0 AND isfinite(a.norm) AND isfinite(b.norm) AND list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) / (a.norm * b.norm) >= 0.93),
+r AS (SELECT vec_id, vec_id AS reach FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.reach),
+m AS (SELECT vec_id, min(reach) AS component_id FROM r GROUP BY 1),
+f AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN f USING (vec_id)""",
 }
