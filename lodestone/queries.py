@@ -454,7 +454,7 @@ def _hash64(domain: str, index: str) -> str:
 @query(
     f"""WITH sign AS (SELECT i, CASE WHEN {_hash64('sign', 'i')} & 1 = 1 THEN -1.0 ELSE 1.0 END AS s FROM range(64) t(i)),
 pick AS (SELECT j, row_number() OVER (ORDER BY k, j) - 1 AS o FROM (SELECT i AS j, {_hash64('coordinate', 'i')} AS k FROM range(64) t(i)) QUALIFY o < 16),
-e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i, sqrt(list_sum(list_transform(embedding, lambda x: (x * x)::DOUBLE))) AS norm FROM embeddings),
+e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings),
 y AS (SELECT vec_id, o, (sum((x / norm)::FLOAT::DOUBLE * s * CASE WHEN bit_count(i & j) % 2 = 0 THEN 1 ELSE -1 END) / 8)::FLOAT::DOUBLE AS v FROM e JOIN sign USING (i), pick GROUP BY ALL),
 n AS (SELECT vec_id, sqrt(sum(v * v)) AS n FROM y GROUP BY 1)
 SELECT vec_id, o AS i, round((v / n)::FLOAT::DOUBLE, 5) AS x FROM y JOIN n USING (vec_id)"""
