@@ -375,7 +375,7 @@ def _components(c: str = "v"):
     return F.posexplode(c).alias("i", "x")
 
 
-@query("SELECT vec_id, i - 1 AS i, round((x * (1 / norm))::FLOAT::DOUBLE, 5) AS x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i, sqrt(list_sum(list_transform(embedding, lambda x: (x * x)::DOUBLE))) AS norm FROM embeddings)")
+@query("SELECT vec_id, i - 1 AS i, round((x * (1 / norm))::FLOAT::DOUBLE, 5) + 0.0::DOUBLE AS x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i, sqrt(list_sum(list_transform(embedding, lambda x: (x * x)::DOUBLE))) AS norm FROM embeddings)")
 def vector_normalize(spark, sf):
     return _vectors(spark, sf).select("vec_id", V.normalize(F.col("vector")).alias("v")).select("vec_id", _components()).select("vec_id", F.col("i").cast("long").alias("i"), F.round(F.col("x").cast("double"), 5).alias("x"))
 
@@ -457,7 +457,7 @@ pick AS (SELECT j, row_number() OVER (ORDER BY k, j) - 1 AS o FROM (SELECT i AS
 e AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings),
 y AS (SELECT vec_id, o, (sum((x / norm)::FLOAT::DOUBLE * s * CASE WHEN bit_count(i & j) % 2 = 0 THEN 1 ELSE -1 END) / 8)::FLOAT::DOUBLE AS v FROM e JOIN sign USING (i), pick GROUP BY ALL),
 n AS (SELECT vec_id, sqrt(sum(v * v)) AS n FROM y GROUP BY 1)
-SELECT vec_id, o AS i, round((v / n)::FLOAT::DOUBLE, 5) AS x FROM y JOIN n USING (vec_id)"""
+SELECT vec_id, o AS i, round((v / n)::FLOAT::DOUBLE, 5) + 0.0::DOUBLE AS x FROM y JOIN n USING (vec_id)"""
 )
 def srht_reduce(spark, sf):
     rows = R.reduce_dimensions(_vectors(spark, sf), "vector", "fingerprint", 16)
@@ -502,7 +502,7 @@ def combine_densities(spark, sf):
 @query(
     f"""WITH {_PAIRS}, u AS (SELECT label AS item, vec_id AS i, unnest(embedding) / sqrt(list_sum(list_transform(embedding, lambda x: (x * x)::DOUBLE))) AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
 v AS (SELECT item, k, sum(weight * x) AS x FROM u JOIN w USING (item, i) GROUP BY ALL), n AS (SELECT item, sqrt(sum(x * x)) AS n FROM v GROUP BY 1), t AS (SELECT item, sum(weight) AS weight FROM w GROUP BY 1)
-SELECT item, k AS i, round(x / n, 5) AS x, round(n / weight, 5) AS coherence FROM v JOIN n USING (item) JOIN t USING (item)"""
+SELECT item, k AS i, round(x / n, 5) + 0.0::DOUBLE AS x, round(n / weight, 5) AS coherence FROM v JOIN n USING (item) JOIN t USING (item)"""
 )
 def combine_to_single(spark, sf):
     rows = _vectors(spark, sf).select("item", "vector", "fingerprint", "tokens", F.lit(0).alias("document_tokens"), F.lit(0).alias("start"), F.lit(0).alias("length"))
@@ -529,7 +529,7 @@ def token_counts(spark, sf):
     """WITH w AS (SELECT doc_id, sha256(lower(unnest(regexp_extract_all(text, '[\\p{L}\\p{Nd}]+')))) AS h FROM documents),
 p AS (SELECT doc_id, ('0x' || substr(h, 1, 8))::UBIGINT % 16 AS i, sum(CASE WHEN ('0x' || substr(h, 9, 2))::UBIGINT % 2 = 1 THEN 1 ELSE -1 END) AS x FROM w GROUP BY ALL),
 n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM p GROUP BY 1 HAVING n > 0)
-SELECT doc_id, i::BIGINT AS i, round((x / n)::FLOAT::DOUBLE, 5) AS x FROM p JOIN n USING (doc_id) WHERE x <> 0"""
+SELECT doc_id, i::BIGINT AS i, round((x / n)::FLOAT::DOUBLE, 5) + 0.0::DOUBLE AS x FROM p JOIN n USING (doc_id) WHERE x <> 0"""
 )
 def embed_hashing(spark, sf):
     out = embed_rows(read(spark, sf, "documents").select("doc_id", "text"), "text", HashingEmbedder(16))
