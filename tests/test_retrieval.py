@@ -212,3 +212,10 @@ def test_sql_names(spark):
     r = spark.sql("SELECT vec_cosine(array(1f, 0f), array(0.8f, 0.6f)) AS c, vec_decode(vec_encode(array(1f, 2f), 4)) AS v, size(vec_reduce(array(1f, 2f, 3f), 2)) AS n, count_tokens('a b') AS t").first()
     assert r.c == pytest.approx(0.8, abs=1e-6) and r.v == [1.0, 2.0] and (r.n, r.t) == (2, 2)
     assert spark.sql("SELECT * FROM chunk_text('a b c', 2)").count() == 2
+
+
+def test_web_queries(spark):
+    docs = spark.createDataFrame([(1, "backup restore now"), (2, "restore the backup"), (3, "network switch"), (4, "backup network")], "id long, t string")
+    found = lambda q: sorted(r.key for r in lexical.web_search(docs, "id", q, {"t": 1.0}).collect())
+    assert found("backup") == [1, 2, 4] and found('"backup restore"') == [1] and found("backup -network") == [1, 2] and found("switch or now") == [1, 3] and found("!!") == []
+    assert lexical.parse_web_query('a "b c" -d OR e') == [(["a"], [["b", "c"]], [["d"]]), (["e"], [], [])]
