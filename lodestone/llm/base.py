@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from functools import reduce
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+#: Bytes of an Arrow batch to a Python worker, where the session doesn't set its own; texts may be long, so rows bound nothing.
+ARROW_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once a Spark context."""
+    """Gives the executors this package, once a Spark context, and bounds Arrow batches by bytes."""
     sc = spark.sparkContext
+    if not sc.getConf().contains("spark.sql.execution.arrow.maxBytesPerBatch"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if getattr(sc, "_lodestone_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -28,6 +39,32 @@ def ship(spark: SparkSession) -> None:
     sc._lodestone_shipped = True
 
 
+def trim() -> None:
+    """Gives freed memory back to the system; the allocator would keep most of it for a worker's life."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], limit: int = 0) -> Iterator[pa.RecordBatch]:
+    """Batches of at least `limit` bytes, but for the last: for work that is cheaper on more rows at once. Memory is trimmed after each."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            whole = pa.concat_batches(held) if len(held) > 1 else held[0]
+            held, size = [], 0
+            del batch
+            yield whole
+            del whole
+            trim()
+    if held:
+        yield pa.concat_batches(held) if len(held) > 1 else held[0]
+        del held
+        trim()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. In local mode one is made where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -156,14 +156,14 @@ def train(docs: DataFrame, usable: Column, per_language: int = 800) -> Model:
                 for k in range(len(at) - 1):
                     own = np.concatenate([g[at[k] : at[k + 1]] for g in grams])
                     p, c = np.unique(own[own < PLACES], return_counts=True)
-                    places.append(p.astype(np.int32))
-                    counts.append(c.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["lang", "order", "places", "counts"])
+                    places.append(p.astype("<i4").tobytes())
+                    counts.append(c.astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.binary()), pa.array(counts, pa.binary())], ["lang", "order", "places", "counts"])
 
     cut = near.withColumn("_nth", F.row_number().over(Window.partitionBy("lang").orderBy("_order", "doc_id", F.xxhash64("text")))).where(F.col("_nth") <= per_language)
-    sample = cut.select("lang", F.col("_order").alias("order"), "text").mapInArrow(run, "lang string, order long, places array<int>, counts array<int>").collect()
-    rows_ = [(r["lang"], np.array(r["places"], dtype=np.int64), np.array(r["counts"], dtype=np.float64)) for r in sorted(sample, key=lambda r: (r["order"], r["lang"], r["places"][:8])) if r["places"]]
-    return fit(rows_)
+    sample = cut.select("lang", F.col("_order").alias("order"), "text").mapInArrow(run, "lang string, order long, places binary, counts binary").collect()
+    sample.sort(key=lambda r: (r["order"], r["lang"], bytes(r["places"])))
+    return fit([(r["lang"], np.frombuffer(r["places"], dtype="<i4"), np.frombuffer(r["counts"], dtype="<i4")) for r in sample if r["places"]])
 
 
 def predict(docs: DataFrame, model: Model, pred: str = "lang_pred", chance: str = "score") -> DataFrame:
@@ -179,7 +179,7 @@ def predict(docs: DataFrame, model: Model, pred: str = "lang_pred", chance: str
         m = sent.value
         g = m.dense()
         names = np.array([*m.languages, "und"], dtype=object)
-        for batch in batches:
+        for batch in base.gathered(batches):
             lang = np.full(len(batch), len(m.languages))
             score = np.zeros(len(batch))
             for lo, hi, data, offsets in K.text_chunks(_lowered(batch.column(place))):
