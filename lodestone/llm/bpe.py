@@ -217,7 +217,7 @@ class Words:
     only time when they come again.
     """
 
-    def __init__(self, table: MergeTable, most: int = 1_500_000):
+    def __init__(self, table: MergeTable, most: int = 400_000):
         self.table, self.most = table, most
         self._clear()
 
@@ -263,8 +263,10 @@ class Encoded:
         self.data, self.offsets, self.store = data, offsets, store
         self.starts, self.ends, self.rows = K.pretokens(data, offsets, glued)
         h = K.hash_spans(data, self.starts, self.ends)
-        self.unique, first, self.inverse = np.unique(h, return_index=True, return_inverse=True)
-        self.first = first
+        self.unique, self.first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        self.inverse = inverse.astype(np.int32)
+        if len(data) < 1 << 31:
+            self.starts, self.ends = self.starts.astype(np.int32), self.ends.astype(np.int32)
 
     def finish(self) -> None:
         """To be called after Words.learn(): counts and ids of pre-tokens."""
@@ -274,36 +276,51 @@ class Encoded:
         total = np.concatenate(([0], np.cumsum(self.counts)))
         self.row_tokens = total[self.rows]  # for each row, ids before it
 
+    def drop(self) -> None:
+        """Lets the arrays go."""
+        self.starts = self.ends = self.inverse = self.counts = self.unique = self.first = None
+
     def ids(self) -> np.ndarray:
         return self.store.flat[K.ragged(self.word_start[self.inverse], self.counts)]
 
 
-def encode_rows(store: Words, column, glued: bool, change=None):
+#: Bytes of text that one replay serves; all arrays of so much text are held at once.
+REPLAY = 8 << 20
+
+
+def encode_rows(store: Words, column, glued: bool):
     """Encoded runs of rows of an Arrow column: (first row, end row, Encoded).
 
-    The words that are new are learned from all runs of the batch together, so that one replay
-    serves the whole batch.
+    The words that are new are learned from many runs together, so that one replay serves them all.
     """
-    runs = []
+    runs, size = [], 0
     for lo, hi, data, offsets in K.text_chunks(column):
         runs.append((lo, hi, Encoded(store, data, offsets, glued)))
-    if not runs:
-        return
+        size += len(data)
+        if size >= REPLAY:
+            yield from _learned(store, runs)
+            runs, size = [], 0
+    if runs:
+        yield from _learned(store, runs)
+
+
+def _learned(store: Words, runs: list[tuple[int, int, Encoded]]):
     hashes = np.concatenate([e.unique for *_, e in runs])
     run = np.repeat(np.arange(len(runs)), [len(e.unique) for *_, e in runs])
     uniq, at = np.unique(hashes, return_index=True)
-    lens = [e.ends[e.first] - e.starts[e.first] for *_, e in runs]
     parts, starts, ends, base = [], np.empty(len(uniq), np.int64), np.empty(len(uniq), np.int64), 0
     shift = np.concatenate(([0], np.cumsum([len(e.unique) for *_, e in runs])))
     for k, (_, _, e) in enumerate(runs):
         mine = np.flatnonzero(run[at] == k)
-        w = at[mine] - shift[k]
-        s, n = e.starts[e.first[w]], lens[k][w]
+        first = e.first[at[mine] - shift[k]]
+        s, n = e.starts[first], e.ends[first] - e.starts[first]
         parts.append(e.data[K.ragged(s, n)])
         ends[mine] = base + np.cumsum(n)
         starts[mine] = ends[mine] - n
         base += int(n.sum())
     store.learn(np.concatenate(parts), starts, ends, uniq)
+    del hashes, run, uniq, at, parts, starts, ends
     for lo, hi, e in runs:
         e.finish()
         yield lo, hi, e
+        e.drop()

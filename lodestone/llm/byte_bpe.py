@@ -38,7 +38,7 @@ def encode(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
     def run(batches):
         store = bpe.words(path)
         tokens = Tokens(bpe.rank_file(path)[1])
-        for batch in batches:
+        for batch in base.gathered(batches, bpe.REPLAY):
             count, a, b = [], [], []
             for lo, hi, enc in bpe.encode_rows(store, batch.column(1), True):
                 ids, at = enc.ids(), enc.row_tokens

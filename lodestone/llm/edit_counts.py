@@ -135,7 +135,7 @@ def edited_counts(docs: DataFrame, path: str, edits: Callable[[str], list[Edit]]
 
     def run(batches):
         store = bpe.words(path)
-        for batch in batches:
+        for batch in base.gathered(batches, bpe.REPLAY):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             if isinstance(edits, str):
                 wanted = [[(x["start"], x["end"], x["text"] or "") for x in e or []] for e in batch.column(2).to_pylist()]

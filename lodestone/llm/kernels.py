@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _POS = 64
 
 LOWER = np.arange(256, dtype=np.uint8)

@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, path: str, limit: int = LIMIT, end: int = END, keep_
 
     def run(batches):
         store = bpe.words(path)
-        for batch in batches:
+        for batch in base.gathered(batches, bpe.REPLAY):
             out = {"doc_id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
             kept = []
             doc_ids = batch.column(0).to_pylist()
