@@ -31,6 +31,8 @@ from . import kernels as K
 
 BEGIN, END = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 _SPLIT_SLOTS = 1 << 16
+#: Bytes of text whose pairs are made distinct together before they are sent.
+COUNTED = 20 << 20
 
 
 def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -129,7 +131,7 @@ def _count(shards: int, frequent: np.ndarray):
     split[frequent] = True
 
     def run(batches):
-        for batch in batches:
+        for batch in base.gathered(batches, COUNTED):
             vs, ws = [], []
             for _, _, data, offsets in K.text_chunks(batch.column(0)):
                 v, w, _ = tokens(data, offsets)
@@ -186,6 +188,8 @@ def _settle(shards: int, folder: str):
             ids = np.flatnonzero(np.diff(cut)).tolist()
             blobs = [_pack([x[cut[t] : cut[t + 1]], *(k[cut[t] : cut[t + 1]] for k in cols)]) for t in ids]
             counts = [int((c == k).sum()) for k in (1, 2, 3, 4)]
+            del v, w, c, p, order, first, u, kind, words, seen, heads, follows, x, cols, to
+            base.trim()
             yield pa.RecordBatch.from_arrays([pa.array([*ids, 0], pa.int32()), pa.array([*blobs, None], pa.binary()), *(pa.array([0] * len(ids) + [k], pa.int64()) for k in counts)], ["shard", "blob", "c1", "c2", "c3", "c4"])
 
     return run
@@ -310,9 +314,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         split = np.zeros(_SPLIT_SLOTS, dtype=bool)
         split[model.frequent] = True
         floor = np.log10(st["tokens"] + 0.5 * (st["types"] + 1))
-        for batch in batches:
+        for batch in base.gathered(batches):
             ns, ks, bs, ss = [], [], [], []
-            for _, _, data, offsets in K.text_chunks(batch.column(1), 8 * K.CHUNK):
+            for _, _, data, offsets in K.text_chunks(batch.column(1), 4 * K.CHUNK):
                 v, w, at = tokens(data, offsets)
                 x, back = np.unique(np.concatenate((w, np.array([BEGIN]))), return_inverse=True)
                 raw, before, total, once, twice, more = arrays.find("word", x, shard_of(x, model.shards), WORD_COLS)
