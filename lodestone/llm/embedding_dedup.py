@@ -31,7 +31,7 @@ def tables_for(threshold: float, recall: float, largest: int) -> tuple[int, int]
     """(tables, bits): bits for buckets of about 64 of the largest label, tables for the recall of a pair at the threshold."""
     bits = min(24, max(4, math.ceil(math.log2(max(1, largest) / 64)) if largest > 64 else 4))
     p = (1 - math.acos(threshold) / math.pi) ** bits
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p))), bits
+    return max(1, math.ceil(math.log(1 - recall) / math.log1p(-p))), bits
 
 
 def _codes(x: np.ndarray, tables: int, bits: int) -> np.ndarray:
@@ -108,7 +108,7 @@ def _blocks(threshold: float):
             a, b, n = zip(*rows, strict=True) if rows else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
 
-        for batch in batches:
+        for batch in base.gathered(batches):
             t = pa.Table.from_batches([batch])
             t = t if rest is None or not len(rest) else pa.concat_tables([rest, t])
             rows, rest = settle(t, False)

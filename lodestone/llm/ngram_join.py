@@ -37,7 +37,7 @@ def banding(threshold: float, recall: float, most: int = 128) -> tuple[int, int]
     best = None
     for rows in range(1, 33):
         p = threshold**rows
-        bands = 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - p))
+        bands = 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-p))
         if bands * rows <= most:
             best = bands, rows
     if best is None:
@@ -100,7 +100,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """doc_id, key (MD5 of the text), size (distinct n-grams), bands."""
 
     def run(batches):
-        for batch in batches:
+        for batch in base.gathered(batches):
             sizes, sig = [], []
             for _, _, data, offsets in K.text_chunks(batch.column("text")):
                 grams, at = gram_hashes(data, offsets, n)
@@ -133,7 +133,7 @@ def _candidates(nodes: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         rest = None
-        for batch in batches:
+        for batch in base.gathered(batches):
             yield from flush((rest := _join(rest, batch)), False)
             rest = flush.rest
         if rest is not None:
@@ -191,7 +191,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataF
 
     def run(batches):
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in base.gathered(batches):
             new = []
             for r, k in enumerate(batch.column("key").to_pylist()):
                 if k not in seen:
@@ -232,7 +232,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         group, held = None, {}
-        for batch in batches:
+        for batch in base.gathered(batches):
             keys = list(zip(*(batch.column(c).to_pylist() for c in order), strict=True))
             a, b, grams = batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("grams")
             out_a, out_b = [], []
@@ -269,6 +269,7 @@ def _classes(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = base.table(_sets(docs, nodes.select("node", "key"), wanted, n), "gram-sets")
     links = base.table(_verified(pairs, sets, threshold), "links")
+    base.drop_table(pairs)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     groups = base.components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     known = nodes.select("node", "_id", "key", "n_copies").join(degree, "node", "left").join(groups, "node", "left").withColumn("_group", F.coalesce("component", "node"))
