@@ -17,6 +17,7 @@ from .options import CandidateOptions, ChunkOptions, LexicalOptions, SemanticOpt
 from .functions.register import register
 from .plans.query import POSTGRES_LIKE, SQL_SERVER_LIKE, SQLITE_LIKE, Corpus, SearchQuery, compile_query, lexical_stage, semantic_stage
 from .schema import VectorFormat
+from .shipping import ship
 from .sources import records
 
 QUERY = "the licensed erble nd version"
@@ -37,6 +38,7 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
