@@ -7,6 +7,7 @@ cost less there. All encodings are little-endian; the envelope is a self-describ
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -63,10 +64,15 @@ def wide_cosine_to(query: np.ndarray):
     return run
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, also where body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize(a: Column) -> Column:
     """Unit length; a zero vector is an error."""
-    inverse = 1.0 / F.sqrt(squares(a))
-    return F.when(squares(a) > 0, F.transform(a, lambda x: (x * inverse).cast("float"))).otherwise(F.raise_error("a zero vector has no direction").cast("array<float>"))
+    made = _let(1.0 / F.sqrt(squares(a)), lambda inverse: F.transform(a, lambda x: (x * inverse).cast("float")))
+    return F.when(squares(a) > 0, made).otherwise(F.raise_error("a zero vector has no direction").cast("array<float>"))
 
 
 def _scale(a: Column, levels: int) -> Column:
@@ -76,15 +82,20 @@ def _scale(a: Column, levels: int) -> Column:
 def quantize(a: Column, bits: int) -> Column:
     """struct<values array<int>, scale float, inverse_integer_norm float> of a symmetric quantisation, rounded half to even."""
     levels = (1 << (bits - 1)) - 1
-    scale = _scale(a, levels)
-    values = F.transform(a, lambda x: F.greatest(F.lit(-levels), F.least(F.lit(levels), F.rint((x / scale).cast("float")).cast("int"))))
-    squared = F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + x * x)
-    made = F.struct(values.alias("values"), scale.alias("scale"), (1.0 / F.sqrt(squared)).cast("float").alias("inverse_integer_norm"))
-    return F.when(F.array_max(F.transform(a, F.abs)) > 0, made).otherwise(F.raise_error("a zero vector can't be quantised").cast("struct<values:array<int>,scale:float,inverse_integer_norm:float>"))
+
+    def values(scale: Column) -> Column:
+        return F.transform(a, lambda x: F.greatest(F.lit(-levels), F.least(F.lit(levels), F.rint((x / scale).cast("float")).cast("int"))))
+
+    def made(v: Column, scale: Column) -> Column:
+        squared = F.aggregate(v, F.lit(0).cast("long"), lambda s, x: s + x * x)
+        return F.struct(v.alias("values"), scale.alias("scale"), (1.0 / F.sqrt(squared)).cast("float").alias("inverse_integer_norm"))
+
+    out = _let(_scale(a, levels), lambda scale: _let(values(scale), lambda v: made(v, scale)))
+    return F.when(F.array_max(F.transform(a, F.abs)) > 0, out).otherwise(F.raise_error("a zero vector can't be quantised").cast("struct<values:array<int>,scale:float,inverse_integer_norm:float>"))
 
 
 def dequantize(q: Column) -> Column:
-    return F.transform(q["values"], lambda x: (x * q["scale"]).cast("float"))
+    return _let(q, lambda z: F.transform(z["values"], lambda x: (x * z["scale"]).cast("float")))
 
 
 def integer_cosine(a: Column, b: Column) -> Column:
