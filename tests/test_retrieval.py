@@ -196,6 +196,24 @@ def test_approximate_recall(spark, sf):
     assert ann.strategy(filters.equal("a", 1)) == "approximate" and ann.strategy(filters.not_equal("a", 1)) == "exact"
 
 
+def test_recall_of_the_registered_query(spark, sf):
+    from lodestone import queries
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.col("embedding").alias("v"), F.lit("s").alias("fingerprint"))
+    centroids = ann.fit(e, "v", queries.CELLS)
+    indexed = ann.assign(e, "v", centroids).cache()
+    vectors = {r.vec_id: np.array(r.v, dtype=np.float64) for r in e.collect()}
+    ids = np.array(sorted(vectors))
+    m = np.stack([vectors[i] for i in ids])
+
+    def recall(found, i):
+        return len({r.vec_id for r in found.collect()} & set(ids[np.argsort(-(m @ vectors[i]), kind="stable")[: queries.NEAREST]].tolist())) / queries.NEAREST
+
+    assert recall(queries.QUERIES["semantic_approximate"](spark, sf), 0) >= 0.9
+    for i in ids[::100]:
+        assert recall(ann.candidates(indexed, "vec_id", "v", "fingerprint", semantic.QueryVector.of(vectors[i], "s"), centroids, queries.NEAREST, queries.PROBES), i) >= 0.9
+
+
 @pytest.mark.parametrize("name", ["POSTGRES_LIKE", "SQLITE_LIKE", "SQL_SERVER_LIKE"])
 def test_profiles_of_stores(spark, name):
     from lodestone.plans import query as plans
