@@ -30,6 +30,8 @@ WORD = K.mask_of([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 BLOCK = 512
 FILTER_PLACES = 1 << 21
 COMPONENT_BLOCK = 1024
+#: Hashes of a signature at most. With fewer, recall 0.9999 at 0.5 takes bands of two rows, whose chance candidates grow with the square of the texts.
+MOST_HASHES = 256
 
 
 def banding(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
@@ -260,7 +262,7 @@ def _classes(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[
     """Tables of all rows (doc_id, key, _row and more), and of their classes with links and groups."""
     spark = docs.sparkSession
     base.ship(spark)
-    bands, rows = banding(threshold, recall)
+    bands, rows = banding(threshold, recall, MOST_HASHES)
     found = base.table(signatures(docs, n, bands, rows).withColumn("_row", F.monotonically_increasing_id()), "signatures")
     first = F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("_id"), F.col("_row"))).alias("_first")
     classes = found.groupBy("key").agg(F.count("*").alias("n_copies"), first, F.first("size").alias("size"), F.first("bands").alias("bands"))
@@ -279,7 +281,7 @@ def _classes(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[
     return found, facts
 
 
-def near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.98) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.9999) -> DataFrame:
     """doc_id, class_id, n_copies, n_links, group_id, kept of every row of docs (doc_id, text).
 
     class_id: the smallest doc_id with the same text; n_copies: rows with that text; n_links: other
@@ -292,7 +294,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall:
     return out.select("doc_id", real("class_id"), "n_copies", "n_links", real("group_id"), (F.col("_row") == F.col("_stays")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.98) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, n: int = 3, threshold: float = 0.5, recall: float = 0.9999) -> DataFrame:
     """docs with one row of each group of near duplicates: that with the smallest doc_id."""
     _, facts = _classes(docs, n, threshold, recall)
     facts = facts.where("n_copies > 1 or node <> _stays")

@@ -148,6 +148,22 @@ def test_op9_against_all_pairs(spark, monkeypatch, block):
         assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({w[3] for w in want.values()})
 
 
+def test_op9_defaults_against_pairs_at_the_threshold(spark):
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    rows = []
+    for i in range(1200):  # pairs that share 20 of 40 word triples
+        a, b, c = ([word() for _ in range(k)] for k in (22, 10, 10))
+        rows += [(2 * i, " ".join(a + b)), (2 * i + 1, " ".join(a + c))]
+    want = brute_near(rows[:40], 3, 0.5)
+    assert all(w[2:] == (1, d // 2 * 2) for d, w in want.items())
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sum(r.n_links == 1 and r.group_id == r.doc_id // 2 * 2 for r in found) >= 0.999 * len(rows)
+    docs = near_table(spark)
+    want = brute_near([(r.doc_id, r.text) for r in docs.collect()], 3, 0.5)
+    assert {r.doc_id: (r.class_id, r.n_copies, r.n_links, r.group_id) for r in near_duplicates(docs).collect()} == want
+
+
 def test_op9_repeats_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, "x")], "doc_id long, text string")
     found = sorted((str(r.doc_id), str(r.class_id), r.n_copies, r.kept) for r in near_duplicates(docs).collect())
