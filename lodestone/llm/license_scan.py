@@ -35,8 +35,8 @@ TEMPLATES: dict[str, tuple[float, str]] = {
     "mit-text": (1.0, "permission is hereby granted free of charge to any person obtaining a copy of this <<optional>>software and associated documentation files <</optional>><<var;0;12>> to deal in the software without restriction"),
     "apache-2.0": (0.95, "licensed under the Apache License <<optional>>version <</optional>>2.0"),
     "gpl": (0.9, "<<one;licensed|released|distributed>> under the <<optional>>terms of the <</optional>><<optional>>GNU <</optional>>General Public License"),
-    "gpl-2.0": (0.95, "GNU General Public License <<optional>>as published by the free software foundation <</optional>><<one;version|v>> 2"),
-    "gpl-3.0": (0.95, "GNU General Public License <<optional>>as published by the free software foundation <</optional>><<one;version|v>> 3"),
+    "gpl-2.0": (0.95, "GNU General Public License <<optional>>as published by the free software foundation <</optional>><<optional>>either <</optional>><<one;version|v>> 2"),
+    "gpl-3.0": (0.95, "GNU General Public License <<optional>>as published by the free software foundation <</optional>><<optional>>either <</optional>><<one;version|v>> 3"),
     "lgpl": (0.95, "GNU <<one;lesser|library>> General Public License"),
     "agpl": (0.95, "GNU Affero General Public License"),
     "mpl-2.0": (0.95, "Mozilla Public License <<var;0;2>> 2.0"),
@@ -48,9 +48,16 @@ TEMPLATES: dict[str, tuple[float, str]] = {
     "cc-by-sa": (0.95, "<<one;licensed|released|available>> under <<optional>>a <</optional>>CC BY SA"),
     "cc0": (0.95, "CC0 <<optional>>1.0 <</optional>><<optional>>universal <</optional>>public domain dedication"),
     "unlicense": (1.0, "this is free and unencumbered software released into the public domain"),
-    "all-rights-reserved": (0.8, "copyright <<var;0;8>> all rights reserved"),
+    "all-rights-reserved": (0.8, "<<optional>>copyright <<var;0;8>> <</optional>>all rights reserved"),
 }
 
+#: Second wordings of these labels.
+ALSO: list[tuple[str, float, str]] = [
+    ("gpl", 0.9, "redistribute it and or modify it under the <<optional>>terms of the <</optional>><<optional>>GNU <</optional>>General Public License"),
+    ("gpl-2.0", 0.95, "GNU General Public License <<optional>>as published by the free software foundation <</optional>><<optional>>either <</optional>>v2"),
+    ("gpl-3.0", 0.95, "GNU General Public License <<optional>>as published by the free software foundation <</optional>><<optional>>either <</optional>>v3"),
+]
+
 
 class Automaton:
     """States with moves on words; a move on None takes any word, an empty move none.
@@ -150,7 +157,8 @@ class Scanner:
 
     def __init__(self, templates: dict[str, tuple[float, str]] | None = None, phrases: dict[bytes, str] | None = None):
         self.phrases = [(b" " + p + b" ", p.count(b" ") + 1, label) for p, label in (BASE if phrases is None else phrases).items()]
-        self.templates = [(label, sure, a, b" " + b" ".join(a.needs) + b" ") for label, (sure, t) in (TEMPLATES if templates is None else templates).items() for a in (Automaton(t),)]
+        wordings = [(label, *t) for label, t in (TEMPLATES if templates is None else templates).items()] + (ALSO if templates is None else [])
+        self.templates = [(label, sure, a, b" " + b" ".join(a.needs) + b" ") for label, sure, t in wordings for a in (Automaton(t),)]
         #: A text without any of these has no label; one search tells.
         words = {p[0].split()[-1] for p in self.phrases} | {max(a.needs, key=len) for *_, a, _ in self.templates}
         self.any = re.compile(b"|".join(re.escape(w) for w in sorted(words)))

@@ -81,6 +81,19 @@ def test_op2_spans(spark):
     assert [(m.label, m.start, m.end) for m in r.matches] == [("apache-2.0", 1, 9)]
 
 
+def test_op2_published_notices():
+    notice = """This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General
+    Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."""
+    labels = lambda text: {(f[0], f[1]) for f in Scanner().scan(text.encode())[5]}
+    assert labels(notice.format(":", ",", 3)) == {("gpl", 0.9), ("gpl-3.0", 0.95)}
+    assert labels(notice.format(";", ";", 2)) == {("gpl", 0.9), ("gpl-2.0", 0.95)}
+    assert labels("Released under the GNU General Public License v3.") == {("gpl", 0.9), ("gpl-3.0", 0.95)}
+    assert labels("Licensed under the GNU General Public License v2, only") == {("gpl", 0.9), ("gpl-2.0", 0.95)}
+    assert labels("News. All rights reserved.") == {("all-rights-reserved", 0.8)}
+    assert [f[2:] for f in Scanner().scan(b"Copyright 2020 A. All rights reserved.")[5]] == [(0, 6)]
+    assert labels("GNU General Public License, either way version 3") == set()
+
+
 # Operator 3
 
 
