@@ -27,7 +27,7 @@ from . import kernels as K
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 PLACES = 1 << 18
-#: The longest word of a host name that is looked up; longer unknown runs are still cut, at a cost for each letter.
+#: The longest unknown word of a host name; counted words are looked up at any length.
 LONGEST = 20
 LETTERS = K.mask_of([b for b in range(256) if not 97 <= b <= 122])
 
@@ -48,11 +48,11 @@ def split_urls(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(h, n): hashes of runs of ASCII letters, A-Z lower-cased, outside of tags, with their number."""
+    """(h, n, letters): hashes of runs of ASCII letters, A-Z lower-cased, outside of tags, with their number and length."""
 
     def run(batches):
         for batch in batches:
-            hashes = []
+            hashes, sizes = [], []
             for _, _, data, offsets in K.text_chunks(batch.column(0)):
                 if not len(data):
                     continue
@@ -63,17 +63,23 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 plain = np.where((opened > closed) & (opened >= first), np.uint8(32), K.LOWER[data])
                 starts, ends, _ = K.word_spans(plain, offsets, LETTERS)
                 hashes.append(K.hash_spans(plain, starts, ends))
-            h, n = np.unique(np.concatenate(hashes), return_counts=True) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+                sizes.append(ends - starts)
+            h, first, n = np.unique(np.concatenate(hashes), return_index=True, return_counts=True) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            letters = np.concatenate(sizes)[first] if sizes else first
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n), pa.array(letters.astype(np.int64))], ["h", "n", "letters"])
 
-    return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "h long, n long, letters long").groupBy("h").agg(F.sum("n").alias("n"), F.max("letters").alias("letters"))
 
 
 def cut_words(piece: str, chance: dict[tuple[int, int], float], unknown) -> list[str]:
     """The likeliest words of a piece; chance has log probabilities by (start, length), unknown(length) those of others."""
+    long: dict[int, list[int]] = {}
+    for start, size in chance:
+        if size > LONGEST:
+            long.setdefault(start + size, []).append(size)
     best, back = [0.0] + [-math.inf] * len(piece), [0] * (len(piece) + 1)
     for end in range(1, len(piece) + 1):
-        for size in range(1, min(LONGEST, end) + 1):
+        for size in [*range(1, min(LONGEST, end) + 1), *long.get(end, ())]:
             c = best[end - size] + chance.get((end - size, size), unknown(size))
             if c > best[end]:
                 best[end], back[end] = c, end - size
@@ -87,6 +93,8 @@ def cut_words(piece: str, chance: dict[tuple[int, int], float], unknown) -> list
 def segment(pieces: DataFrame, counts: DataFrame) -> DataFrame:
     """(piece, words) of distinct pieces (piece), runs of letters."""
     total = counts.agg(F.sum("n")).first()[0] or 0
+    most = pieces.agg(F.max(F.length("piece"))).first()[0] or 0
+    long = sorted(r[0] for r in counts.where((F.col("letters") > LONGEST) & (F.col("letters") <= most)).select("letters").distinct().collect())
 
     def substrings(batches):
         for batch in batches:
@@ -94,7 +102,7 @@ def segment(pieces: DataFrame, counts: DataFrame) -> DataFrame:
             for r, name in enumerate(names):
                 data = np.frombuffer(name.encode(), dtype=np.uint8)
                 n = len(data)
-                for size in range(1, min(LONGEST, n) + 1):
+                for size in [*range(1, min(LONGEST, n) + 1), *(k for k in long if k <= n)]:
                     starts = np.arange(n - size + 1)
                     # each start is hashed apart: spans may overlap
                     flat = data[(starts[:, None] + np.arange(size)).ravel()]

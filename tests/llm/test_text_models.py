@@ -156,6 +156,14 @@ def test_op3_without_rules_allows(spark):
     assert {(r.verdict, r.rule) for r in judge(pages, []).collect()} == {("allow", None)}
 
 
+def test_op3_long_words_are_found_whole(spark):
+    long = "donaudampfschiffahrtsgesellschaft"
+    texts = spark.createDataFrame([(f"cheap {long} " * 20,)], "html string")
+    pieces = spark.createDataFrame([(long,), ("cheap" + long,)], "piece string")
+    words = {r.piece: r.words for r in segment(pieces, word_counts(texts)).collect()}
+    assert words == {long: [long], "cheap" + long: ["cheap", long]}
+
+
 # Operator 4
 
 
