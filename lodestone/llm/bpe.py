@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -51,16 +52,30 @@ class MergeTable:
         return out
 
     def one(self, symbols: list[int]) -> list[int]:
-        """Greedy encoding of one word: the leftmost pair of the least rank, again and again."""
-        s = list(symbols)
-        while len(s) > 1:
-            a = np.array(s)
-            r = self.ranks(a[:-1], a[1:])
-            i = int(np.argmin(r))
-            if r[i] == NONE:
-                break
-            s[i : i + 2] = [int(self.new_of_rank[r[i]])]
-        return s
+        """Greedy encoding of one word: the leftmost pair of the least rank, again and again, from a heap of pairs."""
+        s, n = list(symbols), len(symbols)
+        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
+        first = self.ranks(np.array(s[:-1]), np.array(s[1:])).tolist() if n > 1 else []
+        heap = [(r, i, s[i], s[i + 1]) for i, r in enumerate(first) if r != NONE]
+        heapq.heapify(heap)
+
+        def note(i: int) -> None:
+            if i >= 0 and nxt[i] < n:
+                r = int(self.ranks(np.array([s[i]]), np.array([s[nxt[i]]]))[0])
+                if r != NONE:
+                    heapq.heappush(heap, (r, i, s[i], s[nxt[i]]))
+
+        while heap:
+            r, i, a, b = heapq.heappop(heap)
+            if s[i] != a or nxt[i] >= n or s[nxt[i]] != b:
+                continue  # one of the two has been merged since
+            j = nxt[i]
+            s[i], s[j], nxt[i] = int(self.new_of_rank[r]), -1, nxt[j]
+            if nxt[j] < n:
+                prv[nxt[j]] = i
+            note(prv[i])
+            note(i)
+        return [x for x in s if x >= 0]
 
     def replay(self, data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words (spans of bytes, none empty) one after the other, and how many each has."""
@@ -210,6 +225,36 @@ def merge_file(path: str) -> MergeTable:
     return MergeTable(left, right, np.arange(len(pairs)), new, single, final)
 
 
+class AddedTokens:
+    """Tokens that are found in raw texts before anything else is done to them."""
+
+    def __init__(self, ids: dict[str, int]):
+        self.ids = ids
+        # the library takes the leftmost, of those the one that is listed first
+        self.pattern = re.compile("|".join(map(re.escape, ids))) if ids else None
+
+    def split(self, text: str) -> list[tuple[str, int | None]]:
+        """(text, id of the added token after it); the last part has no such id."""
+        if self.pattern is None:
+            return [(text, None)]
+        out, at = [], 0
+        for m in self.pattern.finditer(text):
+            out.append((text[at : m.start()], self.ids[m.group()]))
+            at = m.end()
+        out.append((text[at:], None))
+        return out
+
+
+@lru_cache(maxsize=4)
+def added_tokens(path: str) -> AddedTokens:
+    """Those of a tokenizers JSON file; only plain ones, which match raw text anywhere, are known."""
+    with open(path) as f:
+        listed = json.load(f).get("added_tokens") or []
+    if any(t.get(k) for t in listed for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("added tokens with conditions are not supported")
+    return AddedTokens({t["content"]: t["id"] for t in listed if t["content"]})
+
+
 class Words:
     """Ids of the words that a worker has met, by hash: sorted hashes, and spans of one flat array.
 
