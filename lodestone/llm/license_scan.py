@@ -29,25 +29,38 @@ PLAIN = bytes(32 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <
 
 BASE = {b"mit license": "mit", b"apache license": "apache", b"general public license": "gpl"}
 
-#: label: (certainty, template). Wording of well-known grants and notices.
+#: What many grants end with.
+_DISCLAIMER = "this software is provided <<one;by|as>> <<var;0;24>> <<optional>>is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed <<optional>>in no event shall <<var;1;16>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage<</optional>><</optional>>"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>>1 <</optional>>redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<optional>>2 <</optional>>redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+
+#: label: (certainty, template). Whole texts of well-known grants, and notices that refer to them.
 TEMPLATES: dict[str, tuple[float, str]] = {
     "mit": (0.9, "<<one;released|licensed|distributed|available>> under the <<optional>>terms of the <</optional>>MIT License"),
     "mit-text": (1.0, "permission is hereby granted free of charge to any person obtaining a copy of this <<optional>>software and associated documentation files <</optional>><<var;0;12>> to deal in the software without restriction"),
+    "mit-full": (1.0, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph <</optional>>shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement <<optional>>in no event shall <<var;1;16>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software<</optional>>"),
     "apache-2.0": (0.95, "licensed under the Apache License <<optional>>version <</optional>>2.0"),
+    "apache-2.0-notice": (1.0, "licensed under the apache license version 2.0 the license you may not use this <<one;file|software|work|project>> except in compliance with the license you may obtain a copy of the license at <<optional>><<one;http|https>> www apache org licenses license 2.0 <</optional>>unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     "gpl": (0.9, "<<one;licensed|released|distributed>> under the <<optional>>terms of the <</optional>><<optional>>GNU <</optional>>General Public License"),
     "gpl-2.0": (0.95, "GNU General Public License <<optional>>as published by the free software foundation <</optional>><<optional>>either <</optional>><<one;version|v>> 2"),
     "gpl-3.0": (0.95, "GNU General Public License <<optional>>as published by the free software foundation <</optional>><<optional>>either <</optional>><<one;version|v>> 3"),
+    "gpl-notice": (1.0, "this program is free software you can redistribute it and or modify it under the terms of the gnu <<optional>><<one;lesser|library|affero>> <</optional>>general public license as published by the free software foundation either version <<one;1|2|3>> <<optional>><<one;0|1>> <</optional>>of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu <<optional>><<one;lesser|library|affero>> <</optional>>general public license for more details <<optional>>you should have received a copy of the gnu <<optional>><<one;lesser|library|affero>> <</optional>>general public license along with this program<</optional>>"),
     "lgpl": (0.95, "GNU <<one;lesser|library>> General Public License"),
     "agpl": (0.95, "GNU Affero General Public License"),
     "mpl-2.0": (0.95, "Mozilla Public License <<var;0;2>> 2.0"),
+    "mpl-2.0-notice": (1.0, "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at <<optional>><<one;http|https>> <</optional>><<optional>>www <</optional>>mozilla org mpl 2.0"),
     "bsd": (0.9, "<<one;licensed|released|distributed>> under the <<optional>>terms of the <</optional>><<optional>><<one;new|modified|simplified|2|3>> <</optional>><<optional>>clause <</optional>>BSD License"),
     "bsd-text": (1.0, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    "bsd-2-clause": (1.0, _BSD + _DISCLAIMER),
+    "bsd-3-clause": (1.0, _BSD + "<<optional>>3 <</optional>>neither the name of <<var;1;16>> nor the names of <<one;its|any>> contributors may be used to endorse or promote products derived from this software without specific prior written permission " + _DISCLAIMER),
     "isc-text": (1.0, "permission to use copy modify and <<optional>>or <</optional>>distribute this software for any purpose with or without fee is hereby granted"),
+    "isc-full": (1.0, "permission to use copy modify and <<optional>>or <</optional>>distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and <<var;1;8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness <<optional>>in no event shall <<var;1;8>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software<</optional>>"),
+    "zlib-text": (1.0, "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    "boost-1.0": (1.0, "<<one;distributed|licensed>> under the boost software license version 1.0"),
     "cc-by-nc": (0.95, "<<one;licensed|released|available>> under <<optional>>a <</optional>>CC BY NC <<optional>><<one;sa|nd>> <</optional>><<var;0;2>>"),
     "cc-by": (0.9, "<<one;licensed|released|available>> under <<optional>>a <</optional>>CC BY <<one;1|2|3|4>> 0"),
     "cc-by-sa": (0.95, "<<one;licensed|released|available>> under <<optional>>a <</optional>>CC BY SA"),
     "cc0": (0.95, "CC0 <<optional>>1.0 <</optional>><<optional>>universal <</optional>>public domain dedication"),
-    "unlicense": (1.0, "this is free and unencumbered software released into the public domain"),
+    "unlicense": (1.0, "this is free and unencumbered software released into the public domain <<optional>>anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means<</optional>>"),
     "all-rights-reserved": (0.8, "<<optional>>copyright <<var;0;8>> <</optional>>all rights reserved"),
 }
 
@@ -158,24 +171,27 @@ class Scanner:
     def __init__(self, templates: dict[str, tuple[float, str]] | None = None, phrases: dict[bytes, str] | None = None):
         self.phrases = [(b" " + p + b" ", p.count(b" ") + 1, label) for p, label in (BASE if phrases is None else phrases).items()]
         wordings = [(label, *t) for label, t in (TEMPLATES if templates is None else templates).items()] + (ALSO if templates is None else [])
-        self.templates = [(label, sure, a, b" " + b" ".join(a.needs) + b" ") for label, sure, t in wordings for a in (Automaton(t),)]
+        self.templates = [(label, sure, a, b" " + b" ".join(a.needs) + b" " if a.needs else b" ") for label, sure, t in wordings for a in (Automaton(t),)]
         #: A text without any of these has no label; one search tells.
-        words = {p[0].split()[-1] for p in self.phrases} | {max(a.needs, key=len) for *_, a, _ in self.templates}
-        self.any = re.compile(b"|".join(re.escape(w) for w in sorted(words)))
+        words = {p[0].split()[-1] for p in self.phrases} | {max(a.needs, key=len) for *_, a, _ in self.templates if a.needs}
+        free = any(not a.needs for *_, a, _ in self.templates)  # a template without a fixed run may match anywhere
+        self.any = None if free else re.compile(b"|".join(re.escape(w) for w in sorted(words)) or rb"(?!)")
 
     def scan(self, raw: bytes) -> tuple[int, int, int | None, int | None, list[str], list[tuple[str, float, int, int]]]:
         """n_words, n_base, first and last start, base labels, and (label, certainty, start, end) of template matches, in words."""
         plain = raw.translate(PLAIN)
         words = plain.split()
         n = len(words)
-        if not self.any.search(plain):
+        if self.any is not None and not self.any.search(plain):
             return n, 0, None, None, [], []
         joined = b" " + b" ".join(words) + b" "
         starts, labels, found, list_ = [], set(), [], words
         for phrase, _, label in self.phrases:
-            at = joined.find(phrase)
+            at, before, place = joined.find(phrase), 0, 0  # word `place` begins at `before`
             while at >= 0:
-                starts.append(joined.count(b" ", 0, at))
+                place += joined.count(b" ", before, at)
+                before = at
+                starts.append(place)
                 labels.add(label)
                 at = joined.find(phrase, at + 1)
         for label, sure, automaton, needs in self.templates:
