@@ -5,7 +5,9 @@ up to `?`, `#` or the end. Rules (verdict, host, path) fit their host and its su
 begins with theirs; the longest rule's verdict stands. Other URLs are judged by multinomial naive Bayes,
 learned from the URLs that rules decide: tokens are the words of the host and of the path, in PLACES
 hashed places. Host names are cut into words by a unigram Viterbi search over word counts of all pages'
-text; counts meet substrings by a join, whatever their number.
+text; counts meet substrings by a join, whatever their number. Digits of a host or path are one token,
+non-ASCII runs are tokens as they stand. Before any token the odds are those of the ruled URLs, unless a
+prior is given: where most rules block, so is most of what has no telling token.
 
 A null URL, or one without `://`, has an empty host and path; it has no token, so the prior decides. With
 no URL under a rule all others are allowed. Rows that repeat are judged alike. Null html counts as empty.
@@ -90,33 +92,57 @@ def cut_words(piece: str, chance: dict[tuple[int, int], float], unknown) -> list
     return out[::-1]
 
 
+#: Bytes of spans that are hashed, and rows that are sent, in one go.
+SPAN_BYTES, SPAN_ROWS = 4 << 20, 100_000
+
+
+def _substrings(data: np.ndarray, sizes: list[int]):
+    """(starts, sizes, hashes) of all substrings of these sizes, in runs of bounded size."""
+    n, out, rows = len(data), [], 0
+    for size in sizes:
+        step = max(1, SPAN_BYTES // size)
+        for lo in range(0, n - size + 1, step):
+            starts = np.arange(lo, min(n - size + 1, lo + step))
+            # each start is hashed apart: spans may overlap
+            flat = data[(starts[:, None] + np.arange(size)).ravel()]
+            at = np.arange(len(starts)) * size
+            out.append((starts, np.full(len(starts), size), K.hash_spans(flat, at, at + size)))
+            rows += len(starts)
+            if rows >= SPAN_ROWS:
+                yield tuple(np.concatenate(x) for x in zip(*out, strict=True))
+                out, rows = [], 0
+    if out:
+        yield tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def segment(pieces: DataFrame, counts: DataFrame) -> DataFrame:
-    """(piece, words) of distinct pieces (piece), runs of letters."""
+    """(piece, words) of distinct pieces, runs of letters: a table (piece, id), or rows (piece) that are written as one first."""
+    if "id" not in pieces.columns:
+        pieces = base.table(pieces.withColumn("id", F.monotonically_increasing_id()), "pieces")
     total = counts.agg(F.sum("n")).first()[0] or 0
     most = pieces.agg(F.max(F.length("piece"))).first()[0] or 0
     long = sorted(r[0] for r in counts.where((F.col("letters") > LONGEST) & (F.col("letters") <= most)).select("letters").distinct().collect())
 
     def substrings(batches):
+        def sent(held):
+            rows, starts, sizes, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(rows), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(hashes.view(np.int64))], ["id", "start", "size", "h"])
+
         for batch in batches:
-            names, out_p, out_s, out_n, out_h = batch.column(0).to_pylist(), [], [], [], []
-            for r, name in enumerate(names):
-                data = np.frombuffer(name.encode(), dtype=np.uint8)
-                n = len(data)
-                for size in [*range(1, min(LONGEST, n) + 1), *(k for k in long if k <= n)]:
-                    starts = np.arange(n - size + 1)
-                    # each start is hashed apart: spans may overlap
-                    flat = data[(starts[:, None] + np.arange(size)).ravel()]
-                    at = np.arange(len(starts)) * size
-                    out_h.append(K.hash_spans(flat, at, at + size))
-                    out_s.append(starts)
-                    out_n.append(np.full(len(starts), size))
-                    out_p.append(np.full(len(starts), r))
-            if out_p:
-                rows = np.concatenate(out_p)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(np.concatenate(out_s), pa.int32()), pa.array(np.concatenate(out_n), pa.int32()), pa.array(np.concatenate(out_h).view(np.int64))], ["piece", "start", "size", "h"])
-
-    known = pieces.mapInArrow(substrings, "piece string, start int, size int, h long").join(counts, "h")
-    found = pieces.join(known.groupBy("piece").agg(F.collect_list(F.struct("start", "size", "n")).alias("known")), "piece", "left")
+            held, rows = [], 0
+            for key, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = len(name)
+                for starts, sizes, hashes in _substrings(np.frombuffer(name.encode(), dtype=np.uint8), [*range(1, min(LONGEST, n) + 1), *(k for k in long if k <= n)]):
+                    held.append((np.full(len(starts), key, dtype=np.int64), starts, sizes, hashes))
+                    rows += len(starts)
+                    if rows >= SPAN_ROWS:
+                        yield sent(held)
+                        held, rows = [], 0
+            if held:
+                yield sent(held)
+
+    known = pieces.select("id", "piece").mapInArrow(substrings, "id long, start int, size int, h long").join(counts.select("h", "n"), "h")
+    found = pieces.select("id", "piece").join(known.groupBy("id").agg(F.collect_list(F.struct("start", "size", "n")).alias("known")), "id", "left")
 
     def run(batches):
         log_total = math.log(total + 1)
@@ -135,16 +161,19 @@ def place_of(kind: str, word: str) -> int:
 
 
 def path_places(path: str) -> list[int]:
-    """Places of the runs of letters and digits of a path; all numbers are one token."""
-    return [place_of("p", "0" if w[0].isdigit() else w) for w in re.findall(r"[a-z]+|[0-9]+", path.lower())]
+    """Places of the runs of letters, of digits and of non-ASCII signs of a path; all numbers are one token."""
+    return [place_of("p", "0" if w[0] in "0123456789" else w) for w in re.findall(r"[a-z]+|[0-9]+|[^\x00-\x7f]+", path.lower())]
 
 
 def _host_places(hosts: DataFrame, counts: DataFrame) -> DataFrame:
-    """(host, places) of distinct hosts (host)."""
-    runs = hosts.select("host", F.posexplode(F.expr("regexp_extract_all(host, '([a-z]+)', 1)")).alias("pos", "piece"))
+    """(host, places) of distinct hosts (host): of the words of its runs of letters, and of its runs of digits (all one token) and of non-ASCII signs."""
+    runs = hosts.select("host", F.posexplode(F.expr(r"regexp_extract_all(host, '([a-z]+|[0-9]+|[^\\x00-\\x7f]+)', 1)")).alias("pos", "piece"))
     runs = base.table(runs, "host-pieces")
-    pieces = base.table(runs.groupBy("piece").agg(F.count("*").alias("_n")), "pieces")
-    words = base.table(segment(pieces.select("piece"), counts).join(pieces, "piece"), "piece-words")
+    pieces = runs.groupBy("piece").agg(F.count("*").alias("_n")).withColumn("id", F.monotonically_increasing_id())
+    pieces = base.table(pieces, "pieces")
+    letters = F.col("piece").rlike("^[a-z]")
+    other = pieces.where(~letters).select("piece", F.array(F.when(F.col("piece").rlike("^[0-9]"), F.lit("0")).otherwise(F.col("piece"))).alias("words"))
+    words = base.table(segment(pieces.where(letters), counts).unionByName(other).join(pieces.select("piece", "_n"), "piece"), "piece-words")
     joined = base.attach(runs, words, ["piece"], "_n").select("host", F.explode("words").alias("word"))
     place = F.crc32(F.concat(F.lit("h:"), F.col("word")).cast("binary")).bitwiseAND(F.lit(PLACES - 1)).cast("int")
     return hosts.join(joined.groupBy("host").agg(F.collect_list(place).alias("places")), "host", "left")
@@ -164,8 +193,11 @@ def _path_counts(urls: DataFrame) -> DataFrame:
     return urls.where("ruled is not null").select("path", "ruled").mapInArrow(run, "place int, allow long, block long")
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict, p_block of every row of pages (page_id, url, html)."""
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None, prior: float | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict, p_block of every row of pages (page_id, url, html).
+
+    prior: the chance of block before a token is seen; if None, the share of block among the URLs that rules decide.
+    """
     spark = pages.sparkSession
     base.ship(spark)
     urls = base.table(split_urls(pages, RULES if rules is None else rules), "urls")
@@ -177,11 +209,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None) ->
     n = np.zeros((2, PLACES))
     for r in learned:
         n[:, r["place"]] = r["allow"], r["block"]
-    prior = placed.agg(F.coalesce(F.sum("_allow"), F.lit(0)), F.coalesce(F.sum("_block"), F.lit(0))).first()
+    ruled = placed.agg(F.coalesce(F.sum("_allow"), F.lit(0)), F.coalesce(F.sum("_block"), F.lit(0))).first()
     used = max(1, int((n.sum(axis=0) > 0).sum()))
     weight = np.log((n[1] + 0.5) / (n[1].sum() + 0.5 * used)) - np.log((n[0] + 0.5) / (n[0].sum() + 0.5 * used))
     weight[n.sum(axis=0) == 0] = 0.0
-    bias = math.log((prior[1] + 0.5) / (prior[0] + 0.5)) if sum(prior) else -math.inf
+    bias = math.log((ruled[1] + 0.5) / (ruled[0] + 0.5)) if sum(ruled) else -math.inf
+    if prior is not None and sum(ruled):
+        bias = math.log(prior / (1 - prior))
 
     def run(batches):
         for batch in batches:
@@ -189,8 +223,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None) ->
             for r, (path, places) in enumerate(zip(batch.column("path").to_pylist(), batch.column("places").to_pylist(), strict=True)):
                 odds[r] += sum(weight[k] for k in [*(places or ()), *path_places(path)])
             chance = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
-            ruled = batch.column("ruled").to_pylist()
-            verdict = [v or ("block" if c > 0.5 else "allow") for v, c in zip(ruled, chance.tolist(), strict=True)]
+            by_rule = batch.column("ruled").to_pylist()
+            verdict = [v or ("block" if c > 0.5 else "allow") for v, c in zip(by_rule, chance.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path", "rule")), pa.array(verdict, pa.string()), pa.array(chance)], ["page_id", "host", "path", "rule", "verdict", "p_block"])
 
     rows = base.attach(urls, placed.select("host", "places", "_n"), ["host"], "_n").select("page_id", "host", "path", "rule", "ruled", "places")

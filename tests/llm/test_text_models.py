@@ -74,6 +74,40 @@ def test_op2_bad_templates():
             Automaton(bad)
 
 
+def test_op2_long_and_hostile_texts_take_seconds():
+    import time
+
+    scanner = Scanner()
+    for text in ("MIT License " * 100_000, "permission is hereby granted free of charge " * 25_000, "GNU General Public License as published by the " * 25_000, "x" * 1_000_000, "licensed " * 120_000 + "under the mit license"):
+        began = time.time()
+        n, n_base, first, last, _, _ = scanner.scan(text.encode())
+        assert time.time() - began < 20
+        if text.startswith("MIT"):
+            assert (n, n_base, first, last) == (200_000, 100_000, 0, 199_998)
+
+
+def test_op2_templates_without_fixed_words():
+    scanner = Scanner({"some": (0.7, "<<one;red|blue>> <<var;1;2>> <<one;fish|bird>>"), "none": (0.5, "<<var;2;3>> <<one;x|y>>")}, {})
+    assert [f[:1] + f[2:] for f in scanner.scan(b"a red big fat fish. x")[5] if f[0] == "some"] == [("some", 1, 5)]
+    assert scanner.scan(b"nothing here")[5] == [] and Scanner({}, {}).scan(b"a b")[0] == 2
+    assert [f[2:] for f in scanner.scan(b"p q x")[5]] == [(0, 3)]
+
+
+def test_op2_whole_texts():
+    bsd = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+    1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+    2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+    {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+    third = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+    labels = lambda text: {f[0] for f in Scanner().scan(text.encode())[5]}
+    assert labels(bsd.format("")) == {"bsd-text", "bsd-2-clause"} and labels(bsd.format(third)) == {"bsd-text", "bsd-3-clause"}
+    assert labels(bsd.format(third).replace("retain", "keep")) == {"bsd-text"}
+    mit = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+    The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+    THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+    assert labels(mit) == {"mit-text", "mit-full"} and labels(mit.replace("merge", "mix")) == {"mit-text"}
+
+
 def test_op2_spans(spark):
     docs = spark.createDataFrame([(1, "x. Licensed under the Apache License, Version 2.0. y")], "doc_id long, text string")
     r = scan_licenses(docs, spans=True).first()
@@ -104,8 +138,8 @@ def plain_rule(host, path):
 
 def test_op3_against_plain_naive_bayes(spark):
     rng = random.Random(2)
-    hosts = ["www.example.com", "Example.COM", "a.b.example.com", "theloan.net", "net", "cheaploans.org", "example.com:80", "good-news.org", "xcom", "com"]
-    paths = ["", "/", "/en/", "/en/12.html", "/es/3?x=/fr/", "/fr/a/b#c", "/de/loans", "/EN/x"]
+    hosts = ["www.example.com", "Example.COM", "a.b.example.com", "theloan.net", "net", "cheaploans.org", "example.com:80", "1loan2.de", "bücher.de", "書.net", "good-news.org", "xcom", "com"]
+    paths = ["", "/", "/en/", "/en/12.html", "/es/3?x=/fr/", "/fr/a/b#c", "/de/loans", "/EN/x", "/fr/été/書"]
     urls = [f"{s}://{rng.choice(hosts)}{rng.choice(paths)}" for s in ["http", "https"] for _ in range(120)] + [None, "", "nothing", "://", "a://b://c/d", "http://x" + "y" * 3000 + ".net/fr/"]
     html = "<p title=loan>the cheap loan news</p> the loans good <script>x>y</script>"
     pages = spark.createDataFrame([(i, u, html if i % 2 else None, "x") for i, u in enumerate(urls)], "page_id long, url string, html string, verdict string").repartition(3)
@@ -126,10 +160,13 @@ def test_op3_against_plain_naive_bayes(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule)
         assert r.verdict == verdict or verdict is None and r.verdict in ("allow", "block")
         t = []
-        for piece in re.findall(r"[a-z]+", host):
+        for piece in re.findall(r"[a-z]+|[0-9]+|[^\x00-\x7f]+", host):
+            if not "a" <= piece[0] <= "z":
+                t.append(place_of("h", "0" if piece[0].isdigit() else piece))
+                continue
             known = {(a, n): math.log(counts[piece[a : a + n]]) - math.log(total + 1) for a in range(len(piece)) for n in range(1, min(20, len(piece) - a) + 1) if piece[a : a + n] in counts}
             t += [place_of("h", w) for w in cut_words(piece, known, lambda n: -math.log(total + 1) - 2.3 * n)]
-        t += [place_of("p", "0" if w[0].isdigit() else w) for w in re.findall(r"[a-z]+|[0-9]+", path.lower())]
+        t += [place_of("p", "0" if w[0].isdigit() else w) for w in re.findall(r"[a-z]+|[0-9]+|[^\x00-\x7f]+", path.lower())]
         tokens[i], labels[i] = t, verdict
     n = {v: Counter(k for i in tokens if labels[i] == v for k in tokens[i]) for v in ("allow", "block")}
     used = len(set(n["allow"]) | set(n["block"]))
@@ -164,6 +201,15 @@ def test_op3_long_words_are_found_whole(spark):
     assert words == {long: [long], "cheap" + long: ["cheap", long]}
 
 
+def test_op3_long_hosts_and_priors(spark):
+    long = "xy" * 50_000
+    pages = spark.createDataFrame([(1, f"http://{long}.com/a", f"<b>{'xy' * 30}</b> {'z' * 5000}"), (2, f"http://{long}.org/q", None), (3, f"http://{'q' * 12_000}.org/", None), (4, "http://w.net/fr/", None), (5, "http://v.org/", None), (5, "http://v.org/", None)], "page_id long, url string, html string")
+    found = judge(pages).collect()
+    assert len(found) == 6 and {r.page_id: r.rule for r in found} == {1: "com/", 2: None, 3: None, 4: "net/fr/", 5: None}
+    told = {r.page_id: r.p_block for r in judge(pages.where("page_id in (1, 4, 5)"), prior=0.01).collect()}
+    assert told[5] < 0.5 and judge(pages, prior=0.01).where("page_id = 1").first().verdict == "allow"
+
+
 # Operator 4
 
 
