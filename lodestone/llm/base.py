@@ -4,18 +4,17 @@ from __future__ import annotations
 
 import ctypes
 import os
-import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 from functools import reduce
-from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shipping
 
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
@@ -24,19 +23,10 @@ ARROW_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once a Spark context, and bounds Arrow batches by bytes."""
-    sc = spark.sparkContext
-    if not sc.getConf().contains("spark.sql.execution.arrow.maxBytesPerBatch"):
+    """Gives the executors this package, once a Spark context, and bounds Arrow batches by bytes where the session doesn't."""
+    if not spark.sparkContext.getConf().contains("spark.sql.execution.arrow.maxBytesPerBatch"):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    if getattr(sc, "_lodestone_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    name = Path(tempfile.mkdtemp(prefix="lodestone-")) / "lodestone.zip"
-    with zipfile.ZipFile(name, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, f"{root.name}/{p.relative_to(root)}")
-    sc.addPyFile(str(name))
-    sc._lodestone_shipped = True
+    shipping.ship(spark)
 
 
 def trim() -> None:
@@ -65,6 +55,31 @@ def gathered(batches: Iterator[pa.RecordBatch], limit: int = 0) -> Iterator[pa.R
         trim()
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], names: list[str], keys: int, limit: int = 0) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of sorted batches with the bounds of runs that agree in the first `keys` columns; no run is parted."""
+    rest: list[np.ndarray] | None = None
+    for batch in gathered(batches, limit):
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if rest is not None and len(rest[0]):
+            cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+        at = bounds(cols, keys)
+        if len(at) > 2:
+            stop = at[-2]
+            yield [c[:stop] for c in cols], at[:-1]
+            cols = [c[stop:].copy() for c in cols]
+        rest = cols
+    if rest is not None and len(rest[0]):
+        yield rest, bounds(rest, keys)
+
+
+def bounds(cols: list[np.ndarray], keys: int) -> np.ndarray:
+    n = len(cols[0])
+    change = np.zeros(n, dtype=bool)
+    for c in cols[:keys]:
+        change[1:] |= c[1:] != c[:-1]
+    return np.concatenate(([0], np.flatnonzero(change), [n]))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir. In local mode one is made where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -90,11 +105,13 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_table(df: DataFrame) -> None:
-    """Deletes what table() wrote, once nothing reads it any more."""
+    """Deletes what table() wrote, on whatever file system it is, once nothing reads it any more."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for f in {os.path.dirname(p) for p in df.inputFiles()}:
-        path = f.removeprefix("file://").removeprefix("file:")
-        if "/lodestone/" in path and os.path.isdir(path):
-            shutil.rmtree(path, ignore_errors=True)
+        if "/lodestone/" in f:
+            path = jvm.org.apache.hadoop.fs.Path(f)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def parts(spark: SparkSession) -> int:
@@ -125,71 +142,128 @@ def attach(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, how:
     most 1 / HOT_SHARE of them, are broadcast; the rest is an ordinary join without large keys.
     Both frames are tables already, so reading them twice is cheap.
     """
-    total = facts.agg(F.sum(weight)).first()[0] or 0
-    limit = max(1000, int(total * HOT_SHARE))
-    hot, cold = facts.where(F.col(weight) >= limit), facts.where(F.col(weight) < limit)
-    if not hot.take(1):
+    total, most = facts.agg(F.sum(weight), F.max(weight)).first()
+    limit = max(1000, int((total or 0) * HOT_SHARE))
+    if (most or 0) < limit:
         return rows.join(facts, keys, how)
+    hot, cold = facts.where(F.col(weight) >= limit), facts.where(F.col(weight) < limit)
     return rows.join(F.broadcast(hot), keys, "inner").unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how))
 
 
+def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, least node of its component) that connect what the edges (u, v) connect."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """(u, v), v < u: edges (src, dst) batch by batch reduced to stars around the least nodes."""
+
+    def run(batches):
+        for batch in gathered(batches, 8 << 20):
+            u, v = spanning(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src <> dst").mapInArrow(run, "u long, v long")
+
+
+def _stars(pair: DataFrame) -> bool:
+    """Whether no u of (u, v) comes twice or is a v: each u then tells its component."""
+    ends = pair.select(F.col("u").alias("x"), F.lit(1).alias("as_u"), F.lit(0).alias("as_v")).unionByName(pair.select(F.col("v").alias("x"), F.lit(0).alias("as_u"), F.lit(1).alias("as_v")))
+    each = ends.groupBy("x").agg(F.sum("as_u").alias("as_u"), F.max("as_v").alias("as_v"))
+    return not each.agg(F.max((F.col("as_u") > 1) | ((F.col("as_u") > 0) & (F.col("as_v") > 0)))).first()[0]
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """(node, component): the smallest node that each node of `edges` (src, dst) reaches.
+    """(node, component): the smallest node that each node of `edges` (src, dst) reaches; a table.
 
-    Large-star and small-star in turns until nothing moves. Every round is a table in the shared
-    folder. A node with very many neighbours is met by aggregation on map sides only: each round
-    needs the least neighbour of a node, never a list of them.
+    Edges are first reduced to stars inside each batch; then large-star and small-star in turns until only
+    stars are left. Every round is a table in the shared folder. A node with very many neighbours is
+    met by aggregation on map sides only: each round needs the least neighbour of a node, never a
+    list of them.
     """
-    spark = edges.sparkSession
-    pair = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    pair = table(pair, "cc")
-    before = None
+    pair = table(contracted(edges).distinct(), "cc")
     for _ in range(most):
+        if _stars(pair):
+            out = pair.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pair.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            out = table(out, "components")
+            drop_table(pair)
+            return out
         # large-star: every node tells its larger neighbours of the least node around it
         both = pair.unionByName(pair.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = _told(both, least, spark).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = table(large, "cc")
+        least = table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "cc-least")
+        told = attach(both, least, ["u"], "n", "inner").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = table(told, "cc")
+        drop_table(least)
         # small-star: every node ties its smaller neighbours and itself to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = _told(large, least, spark).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        small = table(small, "cc")
-        now = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop_table(pair)
-        drop_table(large)
+        least = table(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "cc-least")
+        told = attach(large, least, ["u"], "n", "inner").select(F.explode(F.array(F.struct(F.col("v").alias("src"), F.col("m").alias("dst")), F.struct(F.col("u").alias("src"), F.col("m").alias("dst")))).alias("e")).select("e.src", "e.dst")
+        small = table(contracted(told).distinct(), "cc")
+        for old in (pair, large, least):
+            drop_table(old)
         pair = small
-        if now == before:
-            return pair.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pair.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = now
-    raise RuntimeError(f"no fixed point of the components in {most} rounds")
+    raise RuntimeError(f"no stars in {most} rounds")
 
 
-def _told(rows: DataFrame, least: DataFrame, spark: SparkSession) -> DataFrame:
-    """rows (u, v) with the m of their u; hubs, whose rows are many, by broadcast."""
-    return attach(rows, table(least, "cc-least"), ["u"], "n", "inner")
+#: Places of a filter: at least the first number, about 16 for each key, and never more than the second, which is 16 MB.
+FEWEST_PLACES, MOST_PLACES = 1 << 20, 1 << 27
 
 
-FILTER_PLACES = 1 << 21
+def flagged(rows: DataFrame, key: Column, keys: DataFrame, flag: str) -> DataFrame:
+    """rows with a boolean column: false only where the key is none of the table keys (one column of the key's type).
+
+    A bitmap of hashed places is broadcast, at most MOST_PLACES bits of it. Its places grow with the keys; where
+    even so many are too few, the flag is true more often, and the join that follows sorts that out.
+    """
+    name = keys.columns[0]
+    places, wanted = FEWEST_PLACES, 16 * keys.count()
+    while places < min(wanted, MOST_PLACES):
+        places *= 2
+    free = {c.lower() for c in (*rows.columns, flag)}
+    p, b, bits = (next(c for c in (f"_{x}{i}" for i in range(99)) if c not in free) for x in ("p", "b", "bits"))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(places))
+    map_ = keys.select(place(F.col(name)).alias(p)).select(F.shiftright(p, 15).alias(b), F.pmod(p, F.lit(1 << 15)).alias(p))
+    map_ = map_.groupBy(b).agg(F.bitmap_construct_agg(p).alias(bits))
+    found = rows.withColumn(p, place(key)).withColumn(b, F.shiftright(p, 15)).join(F.broadcast(map_), b, "left")
+    byte = F.conv(F.hex(F.substring(bits, F.pmod(F.shiftright(p, 3), F.lit(1 << 12)).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return found.select(*rows.columns, F.coalesce(F.getbit(byte, F.pmod(p, F.lit(8)).cast("int")) == 1, F.lit(False)).alias(flag))
+
+
+def passing(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """The rows whose key may be among the keys, where they are: all that are, and few others. See flagged()."""
+    flag = next(c for c in (f"_may{i}" for i in range(99)) if c not in {x.lower() for x in rows.columns})
+    return flagged(rows, key, keys, flag).where(flag).drop(flag)
 
 
 def retain(docs: DataFrame, key: Column, contested: DataFrame) -> DataFrame:
     """The rows of docs that stay, with docs' own columns.
 
-    contested (key, keeper, n): keys of which at most one row stays, that with doc_id `keeper` (none
-    where `keeps` is false); n is the number of rows of the key. A broadcast filter of at most
-    FILTER_PLACES places lets all rows of other keys pass where they are; only rows that may be
-    contested are joined.
+    contested (key, keeper, keeps, n), a table: keys of which at most one row stays, that with doc_id `keeper`
+    (none where `keeps` is false); n is the number of rows of the key. A bitmap lets most rows of other keys
+    pass where they are; only rows that may be contested are joined.
     """
     names = docs.columns
     free = {n.lower() for n in names}
-    k, p, w, keeps, n = (next(c for c in (f"_{x}{i}" for i in range(99)) if c not in free) for x in ("key", "place", "keeper", "keeps", "n"))
+    k, may, w, keeps, n = (next(c for c in (f"_{x}{i}" for i in range(99)) if c not in free) for x in ("key", "may", "keeper", "keeps", "n"))
     facts = contested.select(F.col("key").alias(k), F.col("keeper").alias(w), F.col("keeps").alias(keeps), F.col("n").alias(n))
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_PLACES))
-    places = F.broadcast(facts.select(place(k).alias(p)).distinct())
-    rows = docs.withColumn(k, key).withColumn(p, place(k))
-    clear = rows.join(places, p, "left_anti").select(*names)
-    maybe = rows.join(places, p, "left_semi").drop(p)
-    joined = attach(maybe, facts, [k], n)
+    rows = flagged(docs.withColumn(k, key), F.col(k), facts.select(k), may)
+    clear = rows.where(~F.col(may)).select(*names)
+    joined = attach(rows.where(may).drop(may), facts, [k], n)
     free_rows = joined.where(F.col(n).isNull()).select(*names)
     chosen = joined.where(F.coalesce(keeps, F.lit(False)) & F.col("doc_id").cast("long").eqNullSafe(F.col(w))).dropDuplicates([k]).select(*names)
     return union([clear, free_rows, chosen])

@@ -9,6 +9,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from lodestone.llm import base, embedding_dedup, ngram_join
 from lodestone.llm.embedding_dedup import near_vectors, tables_for
 from lodestone.llm.exact_dedup import PatriciaTrie, drop_exact_duplicates, exact_duplicates
@@ -221,6 +223,38 @@ def test_op10_against_all_pairs(spark, monkeypatch, block):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in found} == {i: (links[i], root(i), root(i) == i) for i in links}
 
 
+def test_op10_double_vectors_and_far_scales(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal(8)
+    rows = [[1e300, 0.0], [1e300, 0.0], [1e-300, 0.0], [0.0, 1e300], [1e300, 1e299], *[(x * s).tolist() for s in (1.0, 1e200, 1e-200, 3.0)], (-x).tolist()]
+    table = spark.createDataFrame([(i, v, 1) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    found = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(table).collect()}
+    assert found == {0: (3, 0), 1: (3, 0), 2: (3, 0), 3: (0, 3), 4: (3, 0), **{k: (3, 5) for k in (5, 6, 7, 8)}, 9: (0, 9)}
+    close = spark.createDataFrame([(1, [1.0, 0.3952317654], 1), (2, [1.0, 0.0], 1), (3, [1.0, -1e-9], 1)], "vec_id long, embedding array<double>, label int")
+    cos = lambda a, b: (a[0] * b[0] + a[1] * b[1]) / np.hypot(*a) / np.hypot(*b)
+    v = {r.vec_id: r.embedding for r in close.collect()}
+    want = {i: sum(cos(v[i], v[j]) >= 0.93 for j in v if j != i) for i in v}
+    assert {r.vec_id: r.n_links for r in near_vectors(close).collect()} == want  # single precision would not tell 2 and 3 apart
+
+
+def test_op10_one_bucket_is_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 4096)
+    rng = np.random.default_rng(3)
+    hot = rng.standard_normal(16)
+    rows = [(i, [float(x) for x in hot + 0.02 * rng.standard_normal(16)], 1) for i in range(400)] + [(1000 + i, [float(x) for x in rng.standard_normal(16)], 1) for i in range(200)]
+    found = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r.n_links, r.component_id) for r in found if r.vec_id < 400} == {(399, 0)}
+
+
+def test_hot_keys_pass_the_filters(spark):
+    rows = base.table(spark.range(4000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") + 100_000).alias("k"), F.col("id").alias("_p0")), "hot-rows")
+    keys = base.table(spark.range(7, 8).select(F.col("id").alias("key")), "hot-keys")
+    may = base.passing(rows, F.col("k"), keys)
+    assert may.columns == rows.columns and may.where("k = 7").count() == 1334 and may.where("k <> 7").count() < 50
+    assert base.flagged(rows, F.col("k"), keys.limit(0), "f").where("f").count() == 0
+
+
 def test_op10_repeats_and_no_rows(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [1.0, 0.1], 1), (None, None, 1)], "vec_id long, embedding array<float>, label int")
     assert sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in near_vectors(v).collect()) == sorted([("1", 2, "1"), ("1", 2, "1"), ("None", 2, "1"), ("None", 0, "None")])
