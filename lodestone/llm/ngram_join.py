@@ -4,8 +4,9 @@ Words are runs of letters, digits and non-ASCII signs, A-Z lower-cased; a text's
 hashes of its word n-grams (of all its words at once if it has fewer than n). Copies of a text are
 one class from the start. Bands and rows are chosen for a target recall at the threshold; classes
 that share a band hash, and whose set sizes allow the threshold, are candidates, and every candidate
-pair is verified on the full sets. Buckets of band hashes are dealt with in blocks of bounded size, so
-no bucket is ever one task. A band bucket gives candidates only; what is returned is a row a document:
+pair is verified on the full sets. Band hashes are counted before rows are exchanged: those that come
+once go no further, and large buckets are spread over blocks of bounded size, so no bucket is ever one
+task. A band bucket gives candidates only; what is returned is a row a document:
 its class, its number of links to other texts, its group (connected by links) and whether it is the
 one of its group that stays.
 
@@ -19,7 +20,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import base
@@ -28,8 +29,8 @@ from . import kernels as K
 WORD = K.mask_of([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 #: Members of a bucket that are paired in one go.
 BLOCK = 512
-FILTER_PLACES = 1 << 21
-COMPONENT_BLOCK = 1024
+#: Sets, and n-grams in them, of a block of a component.
+COMPONENT_BLOCK, BLOCK_GRAMS = 1024, 2 << 20
 #: Hashes of a signature at most. With fewer, recall 0.9999 at 0.5 takes bands of two rows, whose chance candidates grow with the square of the texts.
 MOST_HASHES = 256
 
@@ -126,7 +127,9 @@ def _candidates(nodes: DataFrame, threshold: float) -> DataFrame:
     """Distinct pairs (a, b), a < b, of nodes (node, size, bands) that share a band hash and whose sizes allow the threshold."""
     spark = nodes.sparkSession
     rows = nodes.where("size > 0").select("node", "size", F.explode("bands").alias("h"))
-    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy("h"))).where("_n > 1")
+    # hashes are counted alone, map side first; only rows of those that come again are exchanged
+    shared = base.table(rows.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1"), "shared-bands")
+    rows = base.attach(base.passing(rows, F.col("h"), shared.select("h")), shared, ["h"], "_n", "inner")
     blocks = F.ceil(F.col("_n") / F.lit(BLOCK)).cast("int")
     rows = rows.withColumn("_blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("_blocks").cast("long")).cast("int"))
     rows = rows.select("h", "node", "size", "own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
@@ -134,48 +137,31 @@ def _candidates(nodes: DataFrame, threshold: float) -> DataFrame:
     rows = rows.repartition(base.parts(spark), "h", "i", "j").sortWithinPartitions("h", "i", "j")
 
     def run(batches):
-        rest = None
-        for batch in base.gathered(batches):
-            yield from flush((rest := _join(rest, batch)), False)
-            rest = flush.rest
-        if rest is not None:
-            yield from flush(rest, True)
-
-    def flush(cols, last):
-        h, i, j, own, node, size = cols
-        n = len(h)
-        cut = np.flatnonzero((h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        at = np.concatenate(([0], cut, [n]))
-        end = len(at) - 1 if last else len(at) - 2
-        flush.rest = None if last else tuple(c[at[end] :] for c in cols)
-        # pairs inside runs, made by distance: the k-th next row of the same run
-        out_a, out_b = [], []
-        run_end = np.repeat(at[1 : end + 1], np.diff(at[: end + 1]))
-        live, k = np.arange(at[end]), 1
-        while len(live):
-            live = live[live + k < run_end[live]]
-            x, y = live, live + k
-            ok = (i[x] == j[x]) | (own[x] != own[y])
-            s, t = size[x], size[y]
-            ok &= np.minimum(s, t) >= threshold * np.maximum(s, t)
-            ok &= node[x] != node[y]
-            out_a.append(np.minimum(node[x][ok], node[y][ok]))
-            out_b.append(np.maximum(node[x][ok], node[y][ok]))
-            k += 1
-            if sum(map(len, out_a)) > 500_000:
+        for (_, i, j, own, node, size), at in base.whole_runs(batches, ["h", "i", "j", "own", "node", "size"], 3):
+            # pairs inside runs, made by distance: the k-th next row of the same run
+            out_a, out_b, held = [], [], 0
+            run_end = np.repeat(at[1:], np.diff(at))
+            live, k = np.arange(len(node)), 1
+            while len(live):
+                live = live[live + k < run_end[live]]
+                x, y = live, live + k
+                ok = (i[x] == j[x]) | (own[x] != own[y])
+                s, t = size[x], size[y]
+                ok &= np.minimum(s, t) >= threshold * np.maximum(s, t)
+                ok &= node[x] != node[y]
+                out_a.append(np.minimum(node[x][ok], node[y][ok]))
+                out_b.append(np.maximum(node[x][ok], node[y][ok]))
+                held += len(out_a[-1])
+                k += 1
+                if held > 500_000:
+                    yield _pairs(out_a, out_b)
+                    out_a, out_b, held = [], [], 0
+            if out_a:
                 yield _pairs(out_a, out_b)
-                out_a, out_b = [], []
-        if out_a:
-            yield _pairs(out_a, out_b)
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _join(rest, batch):
-    cols = tuple(batch.column(c).to_numpy() for c in ("h", "i", "j", "own", "node", "size"))
-    return cols if rest is None else tuple(np.concatenate(x) for x in zip(rest, cols, strict=True))
-
-
 def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     u = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), axis=1), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(u[:, 0])), pa.array(np.ascontiguousarray(u[:, 1]))], ["a", "b"])
@@ -184,12 +170,11 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
 def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(node, grams array<long>, sorted) of the nodes in `wanted` (node).
 
-    Texts are found by their key. A broadcast filter of at most FILTER_PLACES places keeps out most
-    texts that are not wanted; a map task makes the set of a text once, whatever copies it has.
+    Texts are found by their key. A bitmap keeps out most texts that are not wanted; a map task makes the
+    set of a text once, whatever copies it has.
     """
-    keys = nodes.join(wanted, "node", "left_semi").select("node", "key")
-    place = F.pmod(F.xxhash64("key"), F.lit(FILTER_PLACES))
-    texts = _keyed(docs).withColumn("_place", place).join(F.broadcast(keys.select(place.alias("_place")).distinct()), "_place", "left_semi")
+    keys = base.table(nodes.join(wanted, "node", "left_semi").select("node", "key"), "wanted")
+    texts = base.passing(_keyed(docs), F.col("key"), keys.select("key"))
 
     def run(batches):
         seen: set[bytes] = set()
@@ -210,19 +195,19 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataF
     return made.join(keys, "key").dropDuplicates(["node"]).select("node", "grams")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (a, b) those whose full sets (node, grams) reach the threshold.
+def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs (a, b) those whose full sets (node, grams) reach the threshold; nodes (node, size).
 
     Pairs that hang together are verified in one place, so a set is sent there once, not once a pair.
-    Larger components are cut in blocks of about COMPONENT_BLOCK nodes, a task for each two blocks
-    that have pairs.
+    Larger components are cut in blocks of about COMPONENT_BLOCK sets or BLOCK_GRAMS n-grams, whichever
+    are more blocks, and there is a group for each two blocks that have pairs.
     """
     spark = pairs.sparkSession
     homes = base.components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    sizes = homes.groupBy("component").agg(F.count("*").alias("_n"))
-    homes = base.attach(homes, base.table(sizes, "component-sizes"), ["component"], "_n", "inner")
-    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("_n") / F.lit(COMPONENT_BLOCK)).cast("long"))
-    homes = base.table(homes.select("node", "component", block.cast("int").alias("block")), "homes")
+    sizes = homes.join(nodes.select("node", "size"), "node").groupBy("component").agg(F.count("*").alias("_n"), F.sum("size").alias("_grams"))
+    found = base.attach(homes, base.table(sizes, "component-sizes"), ["component"], "_n", "inner")
+    blocks = F.greatest(F.ceil(F.col("_n") / F.lit(COMPONENT_BLOCK)), F.ceil(F.col("_grams") / F.lit(BLOCK_GRAMS)), F.lit(1).cast("long"))
+    homes = base.table(found.select("node", "component", F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int").alias("block")), "homes")
     of_a = homes.select(F.col("node").alias("a"), F.col("component").alias("c"), F.col("block").alias("_x"))
     of_b = homes.select(F.col("node").alias("b"), F.col("block").alias("_y"))
     placed = base.table(pairs.join(of_a, "a").join(of_b, "b").select("c", F.least("_x", "_y").alias("i"), F.greatest("_x", "_y").alias("j"), "a", "b"), "placed-pairs")
@@ -270,7 +255,7 @@ def _classes(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[
     pairs = base.table(_candidates(nodes, threshold), "candidates")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = base.table(_sets(docs, nodes.select("node", "key"), wanted, n), "gram-sets")
-    links = base.table(_verified(pairs, sets, threshold), "links")
+    links = base.table(_verified(pairs, nodes, sets, threshold), "links")
     base.drop_table(pairs)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     groups = base.components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
