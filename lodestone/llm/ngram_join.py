@@ -167,14 +167,13 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(u[:, 0])), pa.array(np.ascontiguousarray(u[:, 1]))], ["a", "b"])
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, grams array<long>, sorted) of the nodes in `wanted` (node).
+def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """wanted (key and more, a table) with grams array<long>, sorted: the set of the text of that key.
 
-    Texts are found by their key. A bitmap keeps out most texts that are not wanted; a map task makes the
-    set of a text once, whatever copies it has.
+    A bitmap keeps out most texts that are not wanted; a map task makes the set of a text once, whatever
+    copies it has, so that sets come once a task and copy at most.
     """
-    keys = base.table(nodes.join(wanted, "node", "left_semi").select("node", "key"), "wanted")
-    texts = base.passing(_keyed(docs), F.col("key"), keys.select("key"))
+    texts = base.passing(_keyed(docs), F.col("key"), wanted.select("key"))
 
     def run(batches):
         seen: set[bytes] = set()
@@ -191,28 +190,29 @@ def _sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataF
                 out += [np.unique(grams[at[k] : at[k + 1]]).view(np.int64) for k in range(len(at) - 1)]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.list_(pa.int64()))], ["key", "grams"])
 
-    made = texts.select("key", "text").mapInArrow(run, "key binary, grams array<long>")
-    return made.join(keys, "key").dropDuplicates(["node"]).select("node", "grams")
+    return texts.select("key", "text").mapInArrow(run, "key binary, grams array<long>").join(wanted, "key")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (a, b) those whose full sets (node, grams) reach the threshold; nodes (node, size).
+def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, classes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Of pairs (a, b) those whose full sets reach the threshold; nodes (node, size), classes (node, key).
 
     Pairs that hang together are verified in one place, so a set is sent there once, not once a pair.
     Larger components are cut in blocks of about COMPONENT_BLOCK sets or BLOCK_GRAMS n-grams, whichever
-    are more blocks, and there is a group for each two blocks that have pairs.
+    are more blocks, and there is a group for each two blocks that have pairs. A node's block is told by
+    its hash, so pairs are joined by one end only.
     """
     spark = pairs.sparkSession
     homes = base.components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     sizes = homes.join(nodes.select("node", "size"), "node").groupBy("component").agg(F.count("*").alias("_n"), F.sum("size").alias("_grams"))
-    found = base.attach(homes, base.table(sizes, "component-sizes"), ["component"], "_n", "inner")
+    homes = base.attach(homes, base.table(sizes, "component-sizes"), ["component"], "_n", "inner")
     blocks = F.greatest(F.ceil(F.col("_n") / F.lit(COMPONENT_BLOCK)), F.ceil(F.col("_grams") / F.lit(BLOCK_GRAMS)), F.lit(1).cast("long"))
-    homes = base.table(found.select("node", "component", F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int").alias("block")), "homes")
-    of_a = homes.select(F.col("node").alias("a"), F.col("component").alias("c"), F.col("block").alias("_x"))
-    of_b = homes.select(F.col("node").alias("b"), F.col("block").alias("_y"))
-    placed = base.table(pairs.join(of_a, "a").join(of_b, "b").select("c", F.least("_x", "_y").alias("i"), F.greatest("_x", "_y").alias("j"), "a", "b"), "placed-pairs")
+    homes = homes.select(F.col("node").alias("a"), F.col("component").alias("c"), blocks.cast("long").alias("_blocks"))
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("_blocks")).cast("int")
+    placed = pairs.join(homes, "a").select("c", F.least(block("a"), block("b")).alias("i"), F.greatest(block("a"), block("b")).alias("j"), "a", "b")
+    placed = base.table(placed, "placed-pairs")
     ends = placed.select("c", "i", "j", F.explode(F.array("a", "b")).alias("node")).distinct()
-    rows = ends.join(sets, "node").select("c", "i", "j", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
+    wanted = base.table(ends.join(classes.select("node", "key"), "node"), "wanted-sets")
+    rows = _sets(docs, wanted, n).select("c", "i", "j", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
     rows = rows.unionByName(placed.select("c", "i", "j", "a", "b", F.lit(None).cast("array<long>").alias("grams")))
     order = ["c", "i", "j"]
     rows = rows.repartition(base.parts(spark), *order).sortWithinPartitions(*order, "b")  # sets, whose b is null, come first
@@ -250,19 +250,22 @@ def _classes(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[
     bands, rows = banding(threshold, recall, MOST_HASHES)
     found = base.table(signatures(docs, n, bands, rows).withColumn("_row", F.monotonically_increasing_id()), "signatures")
     first = F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("_id"), F.col("_row"))).alias("_first")
-    classes = found.groupBy("key").agg(F.count("*").alias("n_copies"), first, F.first("size").alias("size"), F.first("bands").alias("bands"))
-    nodes = base.table(classes.select(F.col("_first._row").alias("node"), F.col("_first._id").alias("_id"), "key", "n_copies", "size", "bands"), "classes")
+    classes = found.groupBy("key").agg(F.count("*").alias("n_copies"), first)
+    classes = base.table(classes.select(F.col("_first._row").alias("node"), F.col("_first._id").alias("_id"), "key", "n_copies"), "classes")
+    # a class's bands are those of its first row, and stay where they are: only rows that may be later copies are joined
+    many = base.table(classes.where("n_copies > 1").select("key", F.col("node").alias("_node"), "n_copies"), "copied")
+    later = base.attach(base.passing(found.select("key", "_row"), F.col("key"), many.select("key")), many, ["key"], "n_copies", "inner")
+    later = base.table(later.where("_row <> _node").select(F.col("_row").alias("node")), "later-copies")
+    signed = base.flagged(found.select(F.col("_row").alias("node"), "size", "bands"), F.col("node"), later, "_may")
+    nodes = signed.where("not _may").drop("_may").unionByName(signed.where("_may").drop("_may").join(later, "node", "left_anti"))
     pairs = base.table(_candidates(nodes, threshold), "candidates")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = base.table(_sets(docs, nodes.select("node", "key"), wanted, n), "gram-sets")
-    links = base.table(_verified(pairs, nodes, sets, threshold), "links")
+    links = base.table(_verified(docs, pairs, nodes, classes, n, threshold), "links")
     base.drop_table(pairs)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     groups = base.components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    known = nodes.select("node", "_id", "key", "n_copies").join(degree, "node", "left").join(groups, "node", "left").withColumn("_group", F.coalesce("component", "node"))
+    known = classes.join(degree, "node", "left").join(groups, "node", "left").withColumn("_group", F.coalesce("component", "node"))
     least = known.groupBy("_group").agg(F.min(F.struct("_id", "node")).alias("_least"))
     facts = base.table(known.join(least, "_group").select("key", "node", F.col("_id").alias("class_id"), F.col("n_copies"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("_least._id").alias("group_id"), F.col("_least.node").alias("_stays")), "near-facts")
-    base.drop_table(sets)
     return found, facts
 
 
