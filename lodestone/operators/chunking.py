@@ -265,9 +265,18 @@ def chunk_documents(docs: DataFrame, key: str, text: str, tokenizer: Tokenizer,
 
 
 def count_tokens(tokenizer: Tokenizer, special: bool = False):
-    """A column function: source tokens of a text, or with those that the model's input adds."""
+    """A column function: source tokens of a text, or with those that the model's input adds.
+
+    Words between white space are counted in the JVM; other tokenizers go through Arrow.
+    """
     extra = tokenizer.special if special else 0
+    if isinstance(tokenizer, WordTokenizer):
+        # the white space of Python's patterns
+        return lambda c: F.size(F.regexp_extract_all(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), F.lit(r"(?U)([^\s\x1c-\x1f]+)"), F.lit(1))) + F.lit(extra)
+    return count_tokens_udf(tokenizer, extra)
+
 
+def count_tokens_udf(tokenizer: Tokenizer, extra: int = 0):
     @F.pandas_udf("int")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: len(tokenizer.offsets(t or "")) + extra).astype("int32")

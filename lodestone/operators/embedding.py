@@ -50,17 +50,31 @@ class HashingEmbedder:
         h = hashlib.sha256(word.encode()).digest()
         return int.from_bytes(h[:4], "big") % self.dimensions, 1.0 if h[4] & 1 else -1.0
 
+    def _known(self, word: str) -> tuple[int, float]:
+        """place(), kept for words that come again; the store is let go when it is large."""
+        store = self.__dict__.setdefault("_places", {})
+        if word not in store:
+            if len(store) >= 1 << 18:
+                store.clear()
+            store[word] = self.place(word)
+        return store[word]
+
     def embed(self, texts: list[str]) -> np.ndarray:
         import regex
 
-        out, places = np.zeros((len(texts), self.dimensions)), {}
+        # words are numbered in one pass; hashing and adding up go by distinct words and whole arrays
+        word, number = regex.compile(X.WORD), {}
+        rows, sizes = [], np.zeros(len(texts), dtype=np.int64)
         for i, t in enumerate(texts):
-            for w in regex.findall(X.WORD, t or ""):
-                w = w.lower()
-                if w not in places:
-                    places[w] = self.place(w)
-                p, s = places[w]
-                out[i, p] += s
+            found = [number.setdefault(w, len(number)) for w in map(str.lower, word.findall(t or ""))]
+            rows.append(np.array(found, dtype=np.int64))
+            sizes[i] = len(found)
+        out = np.zeros((len(texts), self.dimensions))
+        if number:
+            place = np.array([self._known(w) for w in number])
+            words = np.concatenate(rows)
+            at = np.repeat(np.arange(len(texts)), sizes) * self.dimensions + place[words, 0].astype(np.int64)
+            out = np.bincount(at, weights=place[words, 1], minlength=out.size).reshape(out.shape)
         norms = np.sqrt((out * out).sum(axis=1))
         out[norms == 0, 0] = 1.0
         norms[norms == 0] = 1.0

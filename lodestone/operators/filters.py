@@ -238,6 +238,40 @@ def compile_filter(f: Filter | None, resolve: Resolve) -> Column:
     raise OptionError(f"not a filter: {f!r}")
 
 
+def condition(f: Filter | None, resolve: Resolve) -> Column:
+    """compile_filter() for a `where`, where null is as good as false: bare comparisons, which reach the scan.
+
+    Negations are carried down to the comparisons; a negated one is true for null, and says so.
+    """
+    return _condition(f, resolve, False)
+
+
+def _condition(f: Filter | None, resolve: Resolve, negated: bool) -> Column:
+    match f:
+        case Not(part):
+            return _condition(part, resolve, not negated)
+        case Junction(parts, disjunction):
+            cols = [_condition(p, resolve, negated) for p in parts]
+            return reduce((lambda a, b: a | b) if disjunction != negated else (lambda a, b: a & b), cols)
+        case Comparison(("eq" | "ne") as op, field, value) if value is not None:
+            c, v = resolve(field), F.lit(value)
+            if isinstance(value, str):
+                same = F.lower(c) == F.lower(v)
+            else:
+                same = c == v
+            return same if (op == "eq") != negated else c.isNull() | ~same
+        case Comparison(op, field, value) if op in _ORDER:
+            c, v = resolve(field), F.lit(value)
+            a, b = (F.upper(c), F.upper(v)) if isinstance(value, str) else (c, v)
+            return c.isNull() | ~_ORDER[op](a, b) if negated else _ORDER[op](a, b)
+        case Membership(field, values, without) if all(v is not None for v in values) and values:
+            c = resolve(field)
+            found = F.lower(c).isin([v.lower() for v in values]) if all(isinstance(v, str) for v in values) else c.isin(list(values))
+            return found if without == negated else c.isNull() | ~found
+    out = compile_filter(f, resolve)
+    return ~out if negated else out
+
+
 def _equal_values(a: Any, b: Any) -> bool:
     if a is None or b is None:
         return a is b

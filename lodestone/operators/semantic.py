@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..errors import OptionError, SpaceMismatchError
 from ..functions import vectors as V
 from ..options import CandidateOptions, ScoringOptions, SemanticOptions
-from .filters import Filter, compile_filter, resolver
+from .filters import Filter, condition, resolver
 
 
 @dataclass(frozen=True)
@@ -130,7 +130,7 @@ def candidates(table: DataFrame, chunks: Chunks, query: QueryVector, budget: int
 
     fields: only these, none if the list is empty. weights: multiply the stored weights of fields.
     """
-    table = table.where(compile_filter(where, resolver(chunks.columns)))
+    table = table.where(condition(where, resolver(chunks.columns)))
     if extra_sql:
         table = table.where(F.coalesce(F.expr(extra_sql), F.lit(False)))
     rows = chunks.rows(table).where(F.col("fingerprint") == query.fingerprint)

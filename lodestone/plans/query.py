@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..errors import PlanError
 from ..functions import vectors as V
 from ..operators import fusion, lexical, semantic
-from ..operators.filters import Filter, combine, compile_filter, resolver
+from ..operators.filters import Filter, combine, condition, resolver
 from ..options import FusionOptions, LexicalOptions, ScoringOptions
 
 
@@ -166,12 +166,12 @@ def compile_query(query: SearchQuery, corpus: Corpus, embed: Embed | None = None
     """
     query.validate()
     resolve = resolver(corpus.columns)
-    eligible = corpus.items.where(compile_filter(query.filter, resolve))
+    eligible = corpus.items.where(condition(query.filter, resolve))
     vector, rankings = None, []
     for s in query.stages:
         if s.weight == 0:
             continue
-        items = eligible.where(compile_filter(s.filter, resolve))
+        items = eligible.where(condition(s.filter, resolve))
         n = query.candidate_count(s)
         if s.kind == "lexical":
             fields = _chosen(corpus.text_fields, s.fields)
@@ -200,7 +200,7 @@ def compile_query(query: SearchQuery, corpus: Corpus, embed: Embed | None = None
         return eligible.select(F.col(corpus.key).alias("key"), F.lit(0.0).alias("score"), F.lit(0).alias("first_stage"), F.lit(0).alias("first_rank")).where(F.lit(False))
     fused = fusion.fuse(rankings, query.fusion)
     if query.post_filter is not None:
-        passing = corpus.items.where(compile_filter(query.post_filter, resolve)).select(F.col(corpus.key).alias("key"))
+        passing = corpus.items.where(condition(query.post_filter, resolve)).select(F.col(corpus.key).alias("key"))
         fused = passing.join(F.broadcast(fused), "key")  # at most the stages' candidates
     return fusion.top(fused, query.top)
 

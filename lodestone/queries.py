@@ -56,13 +56,13 @@ def _resolve(*names: str):
 @query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_totalprice >= 100000 AND o_totalprice < 250000 AND lower(o_orderstatus) = 'o' AND o_orderkey > 100 AND o_custkey <= 1000 AND lower(o_orderstatus) <> 'p'")
 def filter_comparison(spark, sf):
     f = filters.all_of(filters.greater_or_equal("o_totalprice", 100000), filters.less("o_totalprice", 250000), filters.equal("o_orderstatus", "o"), filters.greater("o_orderkey", 100), filters.less_or_equal("o_custkey", 1000), filters.not_equal("o_orderstatus", "P"))
-    return read(spark, sf, "orders").where(filters.compile_filter(f, _resolve("o_totalprice", "o_orderstatus", "o_orderkey", "o_custkey"))).select("o_orderkey", "o_totalprice", "o_orderstatus")
+    return read(spark, sf, "orders").where(filters.condition(f, _resolve("o_totalprice", "o_orderstatus", "o_orderkey", "o_custkey"))).select("o_orderkey", "o_totalprice", "o_orderstatus")
 
 
 @query("SELECT doc_id, lang, source FROM documents WHERE lower(lang) IN ('fr', 'de') AND NOT coalesce(lower(source) IN ('src1', 'src2'), false)")
 def filter_set(spark, sf):
     f = filters.is_in("lang", ["FR", "de"]) & filters.not_in("source", ["SRC1", "src2"])
-    return read(spark, sf, "documents").where(filters.compile_filter(f, _resolve("lang", "source"))).select("doc_id", "lang", "source")
+    return read(spark, sf, "documents").where(filters.condition(f, _resolve("lang", "source"))).select("doc_id", "lang", "source")
 
 
 _LABELLED = "(SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
@@ -75,19 +75,19 @@ def _labelled(spark, sf):
 @query(f"SELECT doc_id, quality IS NULL AS unlabelled, coalesce(toxic, -1) AS toxic FROM {_LABELLED} WHERE NOT coalesce(quality = 1, false) AND (toxic IS NULL OR NOT coalesce(toxic IN (1), false))")
 def filter_null(spark, sf):
     f = filters.not_equal("quality", 1) & (filters.is_null("toxic") | filters.not_in("toxic", [1]))
-    return _labelled(spark, sf).where(filters.compile_filter(f, _resolve("quality", "toxic"))).select("doc_id", F.col("quality").isNull().alias("unlabelled"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
+    return _labelled(spark, sf).where(filters.condition(f, _resolve("quality", "toxic"))).select("doc_id", F.col("quality").isNull().alias("unlabelled"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '00') AND starts_with(lower(c_name), 'customer') AND (ends_with(lower(c_name), '7') OR ends_with(lower(c_name), '3'))")
 def filter_string(spark, sf):
     f = filters.all_of(filters.contains("c_name", "00"), filters.starts_with("c_name", "CUSTOMER"), filters.any_of(filters.ends_with("c_name", "7"), filters.ends_with("c_name", "3")))
-    return read(spark, sf, "customer").where(filters.compile_filter(f, _resolve("c_name"))).select("c_custkey", "c_name")
+    return read(spark, sf, "customer").where(filters.condition(f, _resolve("c_name"))).select("c_custkey", "c_name")
 
 
 @query(f"SELECT doc_id, lang FROM {_LABELLED} WHERE NOT (coalesce(quality = 1, false) OR lower(lang) = 'en') AND quality IS NOT NULL")
 def filter_logic_not(spark, sf):
     f = ~(filters.equal("quality", 1) | filters.equal("lang", "EN")) & filters.is_not_null("quality")
-    return _labelled(spark, sf).where(filters.compile_filter(f, _resolve("quality", "lang"))).select("doc_id", "lang")
+    return _labelled(spark, sf).where(filters.condition(f, _resolve("quality", "lang"))).select("doc_id", "lang")
 
 
 @query("SELECT event_id, event_type FROM events WHERE coalesce(value > 50, false) AND length(event_type) > 4 AND ts >= TIMESTAMP '2024-01-01 00:00:00'")
@@ -95,7 +95,7 @@ def filter_native_and_time(spark, sf):
     import datetime
 
     f = filters.combine(filters.greater("value", 50), filters.native("length(event_type) > 4"), None, filters.greater_or_equal("ts", datetime.datetime(2024, 1, 1)))
-    return read(spark, sf, "events").where(filters.compile_filter(f, _resolve("value", "ts"))).select("event_id", "event_type")
+    return read(spark, sf, "events").where(filters.condition(f, _resolve("value", "ts"))).select("event_id", "event_type")
 
 
 # Lexical
@@ -138,7 +138,7 @@ def lexical_bm25_weighted_fields(spark, sf):
 @query(_bm25_sql("(SELECT d.* FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1)", "doc_id", {"text": 1.0}))
 def lexical_bm25_prefiltered(spark, sf):
     f = filters.equal("quality", 1)
-    rows = _labelled(spark, sf).where(filters.compile_filter(f, _resolve("quality")))
+    rows = _labelled(spark, sf).where(filters.condition(f, _resolve("quality")))
     return lexical.bm25(rows, "doc_id", QUERY, {"text": 1.0}).select(F.col("key").alias("doc_id"), r6("score").alias("score"))
 
 
@@ -270,6 +270,29 @@ def semantic_candidates_rerank(spark, sf):
     return out.select("item", r6("score").alias("score"))
 
 
+@query(f"WITH {_COS}, a2 AS (SELECT * FROM a WHERE field = 'f1' ORDER BY cos DESC, item, vec_id LIMIT 100), t AS (SELECT item, {_THREE} FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY adj DESC, vec_id) AS r FROM a2) GROUP BY item) SELECT item, round({_evidence_sql('s1', 's2', 's3')}, 6) AS score, 'scan' AS provider, 'exact' AS mode FROM t ORDER BY 2 DESC, item LIMIT 8")
+def semantic_one_field_with_provenance(spark, sf):
+    out = semantic.candidate_search(_vectors(spark, sf), FIELD_CHUNKS, _query_vector(spark, sf), CandidateOptions(8), fields=["f1"])
+    return out.select("item", r6("score").alias("score"), F.col("retrieval.provider").alias("provider"), F.col("retrieval.mode").alias("mode"))
+
+
+@query(f"WITH {_COS} SELECT item, vec_id, round(cos, 6) AS similarity FROM a WHERE tokens > 300 AND item IN (1, 2, 5) ORDER BY cos DESC, item, vec_id LIMIT 50")
+def semantic_expert_filter(spark, sf):
+    found = semantic.candidates(_vectors(spark, sf), CHUNKS, _query_vector(spark, sf), 50, filters.is_in("item", [1, 2, 5]), extra_sql="tokens > 300")
+    return found.select("item", F.col("chunk").alias("vec_id"), r6("native_similarity").alias("similarity"))
+
+
+@query("SELECT 0::BIGINT AS n")
+def semantic_no_fields(spark, sf):
+    return semantic.candidates(_vectors(spark, sf), FIELD_CHUNKS, _query_vector(spark, sf), 50, fields=[]).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_COS}, f AS (SELECT *, row_number() OVER (PARTITION BY item, field ORDER BY adj DESC, vec_id) AS r FROM a) SELECT item, field, count(*) AS chunks, round(max(adj), 6) AS best FROM f GROUP BY ALL")
+def semantic_all_matches(spark, sf):
+    out = semantic.all_matches(FIELD_CHUNKS.rows(_vectors(spark, sf)), _query_vector(spark, sf), top=None)
+    return out.groupBy("item", "field").agg(F.count("*").alias("chunks"), r6(F.max("adjusted")).alias("best"))
+
+
 @query(f"WITH {_COS} SELECT item, field, vec_id, round(cos, 6) AS similarity, round(adj, 6) AS adjusted, row_number() OVER (PARTITION BY item, field ORDER BY adj DESC, vec_id) AS rank FROM a QUALIFY rank <= 3")
 def semantic_top3_matches(spark, sf):
     out = semantic.all_matches(FIELD_CHUNKS.rows(_vectors(spark, sf)), _query_vector(spark, sf))
@@ -405,9 +428,46 @@ def vector_int4(spark, sf):
     return _quantized(spark, sf, 4)
 
 
-@query()
+_HALF = "(round_even(x::DOUBLE / pow(2, greatest(-14, floor(log2(abs(x::DOUBLE)))) - 10), 0) * pow(2, greatest(-14, floor(log2(abs(x::DOUBLE)))) - 10))"
+
+
+@query(f"SELECT vec_id, i - 1 AS i, CASE WHEN x = 0 THEN 0.0::DOUBLE ELSE {_HALF} END + 0.0::DOUBLE AS x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)")
 def vector_fp16(spark, sf):
-    return _vectors(spark, sf).select("vec_id", V.half_udf("vector").alias("v"))
+    rows = _vectors(spark, sf).select("vec_id", V.half_udf("vector").alias("v")).select("vec_id", _components())
+    return rows.select("vec_id", F.col("i").cast("long").alias("i"), (F.col("x").cast("double") + 0.0).alias("x"))
+
+
+def _envelope_sql(levels: int) -> str:
+    return f"SELECT vec_id, i, round((q * scale)::FLOAT::DOUBLE, 6) + 0.0::DOUBLE AS x FROM (SELECT *, greatest(-{levels}, least({levels}, round_even((x / scale)::FLOAT, 0)::INT)) AS q FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i, (list_max(list_transform(embedding, lambda x: abs(x))) / {levels})::FLOAT AS scale FROM embeddings))"
+
+
+def _envelope(spark, sf, format):
+    rows = _vectors(spark, sf).select("vec_id", V.decode_udf(V.encode_udf(format)("vector")).alias("v")).select("vec_id", _components())
+    return rows.select("vec_id", F.col("i").cast("long").alias("i"), (F.round(F.col("x").cast("double"), 6) + 0.0).alias("x"))
+
+
+@query(_envelope_sql(127))
+def vector_int8_envelope(spark, sf):
+    return _envelope(spark, sf, VectorFormat.INT8)
+
+
+@query(_envelope_sql(7))
+def vector_int4_envelope(spark, sf):
+    return _envelope(spark, sf, VectorFormat.INT4)
+
+
+@query(f"SELECT vec_id, count(*) AS components, round(sum({_HALF}), 5) + 0.0::DOUBLE AS total FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) WHERE x <> 0 GROUP BY vec_id")
+def vector_fp16_envelope(spark, sf):
+    rows = _vectors(spark, sf).select("vec_id", V.decode_udf(V.encode_udf(VectorFormat.FLOAT16)("vector")).alias("v")).select("vec_id", _components()).where("x <> 0")
+    return rows.groupBy("vec_id").agg(F.count("*").alias("components"), (F.round(F.sum(F.col("x").cast("double")), 5) + 0.0).alias("total"))
+
+
+@query("SELECT vec_id, (64 * 4)::BIGINT AS float32, 64 * 2 AS float16, 64 AS int8, 32 AS int4 FROM embeddings")
+def vector_envelope_sizes(spark, sf):
+    head = 20
+    rows = _vectors(spark, sf)
+    size = lambda f, extra: (F.octet_length(V.encode_udf(f)("vector")) - head - extra).cast("int")
+    return rows.select("vec_id", size(VectorFormat.FLOAT32, 0).cast("long").alias("float32"), size(VectorFormat.FLOAT16, 0).alias("float16"), size(VectorFormat.INT8, 8).alias("int8"), size(VectorFormat.INT4, 8).alias("int4"))
 
 
 @query(
@@ -475,14 +535,18 @@ def srht_fingerprint(spark, sf):
     return R.reduce_dimensions(_vectors(spark, sf), "vector", "fingerprint", 16).select("vec_id", "fingerprint")
 
 
+def _documents_of_ten(spark, sf):
+    return _vectors(spark, sf).withColumn("item", F.expr("vec_id div 10"))
+
+
 def _ranges(spark, sf):
-    """Each label's vectors as chunks of one document whose ranges overlap."""
-    v = _vectors(spark, sf)
+    """Every ten vectors as chunks of one document whose ranges overlap."""
+    v = _documents_of_ten(spark, sf)
     return v.select("item", "vec_id", "vector", "fingerprint", "tokens", F.lit(200_000).alias("document_tokens"), (F.col("vec_id") * 70).cast("int").alias("start"), F.col("tokens").cast("int").alias("length"))
 
 
 @query(
-    """WITH r AS (SELECT label AS item, vec_id, vec_id * 70 AS a, vec_id * 70 + 100 + (vec_id * 37) % 900 AS b FROM embeddings),
+    """WITH r AS (SELECT vec_id // 10 AS item, vec_id, vec_id * 70 AS a, vec_id * 70 + 100 + (vec_id * 37) % 900 AS b FROM embeddings),
 cut AS (SELECT DISTINCT item, unnest([a, b]) AS pos FROM r), seg AS (SELECT item, pos, lead(pos) OVER (PARTITION BY item ORDER BY pos) AS upto FROM cut),
 over AS (SELECT item, vec_id, pos, upto, count(*) OVER (PARTITION BY item, pos) AS n FROM seg JOIN r USING (item) WHERE a <= pos AND b >= upto)
 SELECT item, vec_id, round(sum((upto - pos) / n::DOUBLE), 6) AS mass FROM over GROUP BY ALL"""
@@ -492,26 +556,26 @@ def combine_overlap_mass(spark, sf):
     return combine.range_mass_rows(rows).select("item", F.col("chunk").alias("vec_id"), r6("mass").alias("mass"))
 
 
-_PAIRS = """p AS (SELECT a.label AS item, a.vec_id AS i, b.vec_id AS j, 100 + (b.vec_id * 37) % 900 AS m,
-  list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1] * p[2])::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: (x * x)::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: (x * x)::DOUBLE)))) AS cos FROM embeddings a JOIN embeddings b USING (label)),
+_PAIRS = """p AS (SELECT a.vec_id // 10 AS item, a.vec_id AS i, b.vec_id AS j, 100 + (b.vec_id * 37) % 900 AS m,
+  list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1] * p[2])::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: (x * x)::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: (x * x)::DOUBLE)))) AS cos FROM embeddings a JOIN embeddings b ON a.vec_id // 10 = b.vec_id // 10),
 d AS (SELECT item, i, sum(m * CASE WHEN i = j THEN 1 ELSE pow(greatest(0, least(1, cos)), 4) END) AS density FROM p GROUP BY ALL),
 w AS (SELECT item, i, density, (100 + (i * 37) % 900) / sqrt(density) AS weight FROM d)"""
 
 
 @query(f"WITH {_PAIRS} SELECT item, i AS vec_id, round(density, 4) AS density, round(weight, 5) AS weight FROM w")
 def combine_densities(spark, sf):
-    rows = _vectors(spark, sf).select("item", F.col("vec_id").alias("chunk"), "vector", F.col("tokens").cast("double").alias("mass"))
+    rows = _documents_of_ten(spark, sf).select("item", F.col("vec_id").alias("chunk"), "vector", F.col("tokens").cast("double").alias("mass"))
     out = combine.densities(rows)
     return out.select("item", F.col("chunk").alias("vec_id"), F.round("density", 4).alias("density"), F.round("weight", 5).alias("weight"))
 
 
 @query(
-    f"""WITH {_PAIRS}, u AS (SELECT label AS item, vec_id AS i, unnest(embedding) / sqrt(list_sum(list_transform(embedding, lambda x: (x * x)::DOUBLE))) AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
+    f"""WITH {_PAIRS}, u AS (SELECT vec_id // 10 AS item, vec_id AS i, unnest(embedding) / sqrt(list_sum(list_transform(embedding, lambda x: (x * x)::DOUBLE))) AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
 v AS (SELECT item, k, sum(weight * x) AS x FROM u JOIN w USING (item, i) GROUP BY ALL), n AS (SELECT item, sqrt(sum(x * x)) AS n FROM v GROUP BY 1), t AS (SELECT item, sum(weight) AS weight FROM w GROUP BY 1)
 SELECT item, k AS i, round(x / n, 5) + 0.0::DOUBLE AS x, round(n / weight, 5) AS coherence FROM v JOIN n USING (item) JOIN t USING (item)"""
 )
 def combine_to_single(spark, sf):
-    rows = _vectors(spark, sf).select("item", "vector", "fingerprint", "tokens", F.lit(0).alias("document_tokens"), F.lit(0).alias("start"), F.lit(0).alias("length"))
+    rows = _documents_of_ten(spark, sf).select("item", "vector", "fingerprint", "tokens", F.lit(0).alias("document_tokens"), F.lit(0).alias("start"), F.lit(0).alias("length"))
     out = combine.combine_items(rows)
     return out.select("item", "coherence", _components("vector")).select("item", F.col("i").cast("long").alias("i"), F.round(F.col("x").cast("double"), 5).alias("x"), F.round("coherence", 5).alias("coherence"))
 

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import semantic
 from ..operators.chunking import Tokenizer
 from ..operators.embedding import Embedder, embed_documents
-from ..operators.filters import Filter, Resolve, compile_filter
+from ..operators.filters import Filter, Resolve, condition
 from ..options import ChunkOptions
 
 
@@ -30,7 +30,7 @@ def ingest(docs: DataFrame, key: str, text: str, embedder: Embedder, tokenizer:
 
 
 def filter_stream(rows: DataFrame, f: Filter, resolve: Resolve) -> DataFrame:
-    return rows.where(compile_filter(f, resolve))
+    return rows.where(condition(f, resolve))
 
 
 def score_stream(rows: DataFrame, query: semantic.QueryVector, least: float) -> DataFrame:

@@ -39,6 +39,9 @@ def test_columns_agree_with_plain_evaluation(spark, trees):
     for r in rows:
         for i, t in enumerate(trees):
             assert r[f"r{i}"] is f.matches(t, {n: r[n] for n in NAMES}), (t, r)
+    for t in trees[:3]:
+        kept = df.where(f.condition(t, resolve)).collect()
+        assert sorted(map(str, kept)) == sorted(str(r) for r in df.collect() if f.matches(t, {n: r[n] for n in NAMES})), t
     assert F is not None
 
 
@@ -75,6 +78,14 @@ def test_what_an_index_takes():
         assert not f.is_simple(x)
 
 
+def test_conditions_reach_the_scan(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    resolve = f.resolver({"price": "o_totalprice", "key": "o_orderkey", "status": "o_orderstatus"})
+    for tree, pushed in ((f.greater("price", 5), "GreaterThan(o_totalprice"), (~f.less("price", 5), "GreaterThanOrEqual(o_totalprice"), (f.is_in("key", [1, 2]), "In(o_orderkey"), (f.not_equal("key", 3), "Not(EqualTo(o_orderkey"), (f.equal("key", 3) | f.is_null("status"), "IsNull(o_orderstatus"), (f.equal("status", "o"), "IsNotNull(o_orderstatus")):
+        plan = orders.where(f.condition(tree, resolve))._jdf.queryExecution().executedPlan().toString()
+        assert pushed in plan[plan.index("PushedFilters") :], plan
+
+
 def test_values_never_become_sql(spark):
     df = spark.createDataFrame([("x' OR '1'='1",), ("y",)], "s string")
     assert df.where(f.compile_filter(f.equal("s", "x' or '1'='1"), f.resolver({"s": "s"}))).count() == 1
