@@ -6,8 +6,9 @@ every run of other signs is one blank; grams are hashed in 2**18 places. A gram'
 is its share of the text's grams times its inverse document frequency, so that a text's scores are
 sums over its grams, at any length.
 
-Training reads at most `per_language` texts of each language (a sample by a hash of doc_id) of those
-rows that the caller marks as usable; a fifth of them is kept for the temperature. Null texts and
+Inverse document frequencies are counted over all rows that the caller marks as usable; weights are fitted on
+at most `per_language` texts of each language (a sample by a hash of doc_id), a fifth of which is kept for the
+temperature. Of more than `most_languages` languages, those with the most texts are learned. Null texts and
 texts without a letter are `und` with score 0. Rows without a language or id are not learned from.
 With no usable row every text is `und`. Repeated rows are judged alike; extra columns are not read.
 """
@@ -26,7 +27,10 @@ from . import kernels as K
 
 BITS = 18
 PLACES = 1 << BITS
-MOST_LANGUAGES = 256
+#: Languages that are learned at most, those with the most texts; a parameter of train().
+MOST_LANGUAGES = 1000
+#: Weights that are added up at once in a worker: bounds memory at any length of text and number of languages.
+SLICE = 4 << 20
 
 
 def gram_places(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -65,41 +69,47 @@ def _lowered(column: pa.Array) -> pa.Array:
 
 
 class Model:
-    """Languages, weights times inverse document frequency by place, bias and temperature."""
+    """Languages, weights times inverse document frequency of the places that have any, bias and temperature."""
 
-    def __init__(self, languages: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float):
+    def __init__(self, languages: list[str], places: np.ndarray, weights: np.ndarray, bias: np.ndarray, temperature: float):
+        some = np.any(weights != 0, axis=1) if len(places) else np.zeros(0, bool)
         self.languages, self.bias, self.temperature = languages, bias, temperature
-        self.rows = np.flatnonzero(np.any(weights != 0, axis=1)).astype(np.int32)
-        self.values = weights[self.rows].astype(np.float32)
+        self.rows, self.values = places[some].astype(np.int32), weights[some].astype(np.float32)
 
-    def dense(self) -> np.ndarray:
-        g = np.zeros((PLACES + 1, len(self.languages)), dtype=np.float32)
-        g[self.rows] = self.values
-        return g
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each place (and the one that stands for none) a row of the values; row 0 is zero."""
+        row = np.zeros(PLACES + 1, dtype=np.int32)
+        row[self.rows] = np.arange(1, len(self.rows) + 1)
+        return row, np.concatenate((np.zeros((1, len(self.languages)), np.float32), self.values.reshape(len(self.rows), len(self.languages))))
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.001, epochs: int = 3, scale: float = 30.0) -> Model:
-    """FTRL-proximal over (language, places, counts) of the sampled texts, in the order given."""
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.001, epochs: int = 3, scale: float = 30.0, df: np.ndarray | None = None, docs: int = 0) -> Model:
+    """FTRL-proximal over (language, places, counts) of the sampled texts, in the order given.
+
+    df: in how many of `docs` texts each place occurs; if None, it is counted in the sample.
+    """
     languages = sorted({r[0] for r in rows})
     if not languages:
-        return Model([], np.zeros((PLACES, 0)), np.zeros(0), 1.0)
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+        return Model([], np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0), 1.0)
     code = {k: i for i, k in enumerate(languages)}
     held = [i % 5 == 4 for i in range(len(rows))] if len(rows) >= 10 else [False] * len(rows)
-    df = np.zeros(PLACES)
-    for _, p, _ in rows:
-        df[p] += 1
-    idf = np.log((1 + len(rows)) / (1 + df)) + 1
-    k = len(languages)
-    z, n = np.zeros((PLACES + 1, k)), np.zeros((PLACES + 1, k))  # the last place is the bias
+    if df is None:
+        df, docs = np.zeros(PLACES), len(rows)
+        for _, p, _ in rows:
+            df[p] += 1
+    # only places of the sample have weights
+    used = np.unique(np.concatenate([p for _, p, _ in rows]))
+    rows = [(lang, np.searchsorted(used, p), c) for lang, p, c in rows]
+    idf = (np.log((1 + docs) / (1 + df)) + 1)[used]
+    k, n_used = len(languages), len(used)
+    z, n = np.zeros((n_used + 1, k)), np.zeros((n_used + 1, k))  # the last one is the bias
 
     def weights(p: np.ndarray) -> np.ndarray:
         zp = z[p]
         return np.where(np.abs(zp) <= l1, 0.0, -(zp - np.sign(zp) * l1) / ((beta + np.sqrt(n[p])) / alpha + l2))
 
     def vector(p: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.append(p, PLACES), np.append(scale * c / c.sum() * idf[p], 1.0)
+        return np.append(p, n_used), np.append(scale * c / c.sum() * idf[p], 1.0)
 
     def chances(s: np.ndarray) -> np.ndarray:
         e = np.exp(s - s.max(axis=-1, keepdims=True))
@@ -117,7 +127,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], alpha: float = 0.5, beta
             grown = n[p] + g * g
             z[p] += g - (np.sqrt(grown) - np.sqrt(n[p])) / alpha * w
             n[p] = grown
-    w = weights(np.arange(PLACES + 1))
+    w = weights(np.arange(n_used + 1))
     judged = [(code[lang], *vector(p, c)) for (lang, p, c), h in zip(rows, held, strict=True) if h]
     temperature = 1.0
     if judged:
@@ -132,20 +142,68 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], alpha: float = 0.5, beta
             a, b = hi - gold * (hi - lo), lo + gold * (hi - lo)
             lo, hi = (lo, b) if loss(np.exp(a)) <= loss(np.exp(b)) else (a, hi)
         temperature = float(np.exp((lo + hi) / 2))
-    return Model(languages, w[:PLACES] * (idf * scale)[:, None], w[PLACES], temperature)
+    return Model(languages, used, w[:n_used] * (idf * scale)[:, None], w[n_used], temperature)
+
+
+#: Places whose numbers travel together.
+_BLOCK = 1 << 12
+
 
+def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many texts each place occurs, and how many texts there are, over all rows of texts (text)."""
 
-def train(docs: DataFrame, usable: Column, per_language: int = 800) -> Model:
-    """The model of docs (doc_id, text, lang) whose `usable` holds and whose lang and text aren't null."""
+    def count(batches):
+        n, slot, docs = np.zeros(PLACES, dtype=np.int64), np.zeros(PLACES, dtype=np.int64), 0
+        for batch in base.gathered(batches):
+            for lo, hi, data, offsets in K.text_chunks(_lowered(batch.column(0))):
+                docs += hi - lo
+                grams, at, _ = gram_places(data, offsets)
+                for k in range(hi - lo):
+                    own = np.concatenate([g[at[k] : at[k + 1]] for g in grams])
+                    own = own[own < PLACES]
+                    nth = np.arange(len(own))
+                    slot[own] = nth  # of equal places the last stands for all
+                    n[own[slot[own] == nth]] += 1
+        if docs:
+            blobs = [n[x : x + _BLOCK].astype("<i8").tobytes() for x in range(0, PLACES, _BLOCK)]
+            # block -1 holds the number of texts
+            yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(blobs)), pa.int32()), pa.array([np.array([docs], "<i8").tobytes(), *blobs], pa.binary())], ["block", "n"])
+
+    def added(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(blob, dtype="<i8")
+                sums[block] = sums[block] + x if block in sums else x
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "n"])
+
+    kind = "block int, n binary"
+    out, docs = np.zeros(PLACES, dtype=np.int64), 0
+    for r in texts.mapInArrow(count, kind).repartition("block").mapInArrow(added, kind).collect():  # PLACES numbers in all
+        x = np.frombuffer(bytes(r["n"]), dtype="<i8")
+        if r["block"] < 0:
+            docs = int(x[0])
+        else:
+            out[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = x
+    return out, docs
+
+
+def train(docs: DataFrame, usable: Column, per_language: int = 800, most_languages: int = MOST_LANGUAGES) -> Model:
+    """The model of docs (doc_id, text, lang) whose `usable` holds and whose lang and text aren't null.
+
+    Document frequencies are those of all such rows. The weights are fitted on at most `per_language` texts of
+    each of the `most_languages` languages with the most texts (of equals the first by name); no others are told.
+    """
     base.ship(docs.sparkSession)
-    rows = docs.select("doc_id", "text", "lang").where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_order", F.xxhash64(F.col("doc_id"), F.lit(7)))
-    found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("_order", F.xxhash64(F.col("doc_id"), F.lit(7)))
+    found = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_languages).collect()}
     if not found:
         return fit([])
+    df, n_docs = document_frequencies(rows.select("text"))
     # twice the wanted share by the hash, so that the exact cut sorts little
-    share = F.lit(1.0)
-    for lang, n in found.items():
-        share = F.when(F.col("lang") == lang, min(1.0, (2 * per_language + 50) / n)).otherwise(share)
+    shares = F.create_map(*(F.lit(x) for lang, n in found.items() for x in (lang, min(1.0, (2 * per_language + 50) / n))))
+    share = F.coalesce(shares[F.col("lang")], F.lit(0.0))
     near = rows.where((F.pmod("_order", F.lit(1 << 30)) / float(1 << 30)) < share)
 
     def run(batches):
@@ -163,13 +221,13 @@ def train(docs: DataFrame, usable: Column, per_language: int = 800) -> Model:
     cut = near.withColumn("_nth", F.row_number().over(Window.partitionBy("lang").orderBy("_order", "doc_id", F.xxhash64("text")))).where(F.col("_nth") <= per_language)
     sample = cut.select("lang", F.col("_order").alias("order"), "text").mapInArrow(run, "lang string, order long, places binary, counts binary").collect()
     sample.sort(key=lambda r: (r["order"], r["lang"], bytes(r["places"])))
-    return fit([(r["lang"], np.frombuffer(r["places"], dtype="<i4"), np.frombuffer(r["counts"], dtype="<i4")) for r in sample if r["places"]])
+    return fit([(r["lang"], np.frombuffer(r["places"], dtype="<i4"), np.frombuffer(r["counts"], dtype="<i4")) for r in sample if r["places"]], df=df, docs=n_docs)
 
 
 def predict(docs: DataFrame, model: Model, pred: str = "lang_pred", chance: str = "score") -> DataFrame:
     """docs (text and more) with the language and its calibrated probability, in columns of the given names; docs must not have them."""
     base.ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most PLACES rows of MOST_LANGUAGES weights
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most PLACES rows of a weight for each language learned
     if {pred, chance} & set(docs.columns):
         raise ValueError(f"the table has a column {pred} or {chance} already")
     schema = T.StructType([*docs.schema, T.StructField(pred, T.StringType()), T.StructField(chance, T.DoubleType())])
@@ -177,8 +235,9 @@ def predict(docs: DataFrame, model: Model, pred: str = "lang_pred", chance: str
 
     def run(batches):
         m = sent.value
-        g = m.dense()
+        row, values = m.table()
         names = np.array([*m.languages, "und"], dtype=object)
+        step = max(1, SLICE // max(1, len(m.languages)))
         for batch in base.gathered(batches):
             lang = np.full(len(batch), len(m.languages))
             score = np.zeros(len(batch))
@@ -187,10 +246,16 @@ def predict(docs: DataFrame, model: Model, pred: str = "lang_pred", chance: str
                 some = np.flatnonzero(letters)
                 if not len(some) or not m.languages:
                     continue
-                acc = g[grams[0]]
-                acc += g[grams[1]]
-                acc += g[grams[2]]
-                sums = np.add.reduceat(acc, at[:-1][some], axis=0, dtype=np.float64)
+                sums = np.zeros((hi - lo, len(m.languages)))
+                for x in range(0, int(at[-1]), step):
+                    y = min(int(at[-1]), x + step)
+                    acc = values[row[grams[0][x:y]]]
+                    acc += values[row[grams[1][x:y]]]
+                    acc += values[row[grams[2][x:y]]]
+                    inside = np.clip(at, x, y)
+                    of = np.flatnonzero(inside[1:] > inside[:-1])
+                    sums[of] += np.add.reduceat(acc, inside[:-1][of] - x, axis=0, dtype=np.float64)
+                sums = sums[some]
                 size = np.diff(at)[some]
                 total = size + np.maximum(size - 1, 0) + np.maximum(size - 2, 0)
                 s = (sums / total[:, None] + m.bias) / m.temperature

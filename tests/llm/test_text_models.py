@@ -362,3 +362,25 @@ def test_pipeline_on_odd_documents(spark):
             assert left.columns == docs.columns
         assert left.count() == n
         assert corpus_pipeline.STAGES[3][1](spark, left, "").select("doc_id").distinct().count() == n
+
+
+def test_op7_many_languages_and_whole_table_frequencies(spark, monkeypatch):
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(300):
+        own = [rng.choice(letters) + rng.choice(letters) + chr(0x4E00 + k) for _ in range(4)]
+        rows += [(len(rows) + i, " ".join(rng.choice(own) for _ in range(12)), f"l{k:03}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    monkeypatch.setattr(language_id, "SLICE", 5000)
+    found = {r.doc_id: r for r in identify(docs).collect()}
+    assert sum(found[d].lang_pred == lang for d, _, lang in rows) > 0.6 * len(rows) and all(0 <= r.score <= 1 for r in found.values())
+    few = language_id.train(docs, F.lit(True), most_languages=5)
+    assert few.languages == [f"l{k:03}" for k in range(5)]
+    df, n = language_id.document_frequencies(docs.select("text"))
+    want = Counter()
+    for _, t, _ in rows:
+        grams, at, _ = language_id.gram_places(np.frombuffer(t.encode(), dtype=np.uint8), np.array([0, len(t.encode())]))
+        want.update({int(p) for g in grams for p in g if p < language_id.PLACES})
+    assert n == len(rows) and {int(p): int(df[p]) for p in np.flatnonzero(df)} == dict(want)
+    assert language_id.document_frequencies(docs.select("text").limit(0))[1] == 0
