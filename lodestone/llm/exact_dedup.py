@@ -1,15 +1,17 @@
 """Operator 5: exact duplicates, owned by Patricia tries.
 
-Rows are keyed by length and content hash (SHA-256). Only texts whose key more than one row has
-can have copies; they alone are shuffled, after every map task has merged its own copies in a
-trie. Each length-and-hash partition then inserts whole byte strings in a compressed radix trie
-whose terminal nodes hold the owner's identifier and the number of copies; when a trie outgrows
-its memory, its largest subtree is spilled to the task's local disk and settled afterwards.
+Rows are keyed by length and content hash (SHA-256, and a second hash that tells texts of one SHA-256
+apart). Only texts whose key more than one row has can have copies; they alone are shuffled, after
+every map task has merged its own copies in a trie. Each length-and-hash partition then inserts the full
+byte strings in a compressed radix trie, whose terminal nodes hold the owner's identifier, how many rows
+have that identifier, and the number of copies: these give keep_id, group_size and kept. When a trie
+outgrows its memory, its largest subtree is spilled to the task's local disk (which Spark gives it for
+that; a lost task begins anew) and settled afterwards.
 
 Texts are equal when all bytes are; null counts as empty. The largest id owns a group (the
 terminal keeps it in the place of the smallest). Of rows that repeat an id and a text, one is
-kept. A null id is smaller than all others. If two different texts should ever share a SHA-256,
-the trie sees it and the job stops rather than merge them.
+kept. A null id is smaller than all others. If two different texts should ever share both hashes, the
+tries see it and the job stops rather than merge them.
 """
 
 from __future__ import annotations
@@ -20,14 +22,11 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import base
 
-#: At most so many places of the filter of keys with copies are broadcast.
-FILTER_PLACES = 1 << 21
-
 
 def _common(a: bytes, b: bytes) -> int:
     """The length of the common prefix."""
@@ -64,28 +63,26 @@ class PatriciaTrie:
         self.root, self.better, self.budget, self.size, self.folder, self.spills = Node(b""), better, budget, 0, folder, 0
 
     def add(self, key: bytes, owner, count: int = 1) -> None:
-        node, rest = self.root, key
-        while True:
-            if not rest:
-                break
-            kid = node.kids.get(rest[0])
+        node, at, end = self.root, 0, len(key)
+        while at < end:
+            kid = node.kids.get(key[at])
             if kid is None:
-                kid = node.kids[rest[0]] = Node(rest)
-                self.size += len(rest) + self.NODE
+                kid = node.kids[key[at]] = Node(key[at:])
+                self.size += end - at + self.NODE
                 node = kid
                 break
             if kid.spill is not None:
                 pickle.dump((key, owner, count), kid.spill, -1)
                 return
-            n = _common(kid.label, rest)
+            n = _common(kid.label, key[at : at + len(kid.label)])
             if n < len(kid.label):
                 upper = Node(kid.label[:n])
                 kid.label = kid.label[n:]
                 upper.kids[kid.label[0]] = kid
-                node.kids[rest[0]] = upper
+                node.kids[key[at]] = upper
                 self.size += self.NODE
                 kid = upper
-            node, rest = kid, rest[n:]
+            node, at = kid, at + n
         node.owner = owner if not node.count else self.better(node.owner, owner)
         node.count += count
         if self.size > self.budget:
@@ -145,8 +142,11 @@ class PatriciaTrie:
             yield from sub.items()
 
 
-def _later(a, b):
-    return b if a is None or (b is not None and b > a) else a
+def _best(a: tuple, b: tuple) -> tuple:
+    """Of two (id, rows that have it, key) the one with the larger id; of one id the rows are added up."""
+    if a[0] == b[0]:
+        return a[0], a[1] + b[1], a[2]
+    return b if a[0] is None or (b[0] is not None and b[0] > a[0]) else a
 
 
 def _local_folder() -> str | None:
@@ -158,73 +158,85 @@ def _local_folder() -> str | None:
 
 
 def _tries(final: bool, budget: int):
-    """Copies merged in a trie a task. Strings are inserted whole after their key."""
+    """Texts of a task in a trie: (key, bytes [but in the end], owner, owner_rows, copies) of each distinct one."""
 
     def run(batches):
-        trie = PatriciaTrie(_later, budget, _local_folder())
-
-        def emit():
+        def emit(trie):
             rows, size = [], 0
-            for key, owner, count in trie.items():
-                rows.append((key[:32], None if final else key[32:], owner, count))
-                size += len(key)
+            for text, (owner, owner_rows, key), copies in trie.items():
+                rows.append((key, None if final else text, owner, owner_rows, copies))
+                size += len(text)
                 if len(rows) >= 5000 or size > 8 << 20:
-                    yield rows
+                    yield batch_of(rows)
                     rows, size = [], 0
             if rows:
-                yield rows
+                yield batch_of(rows)
 
         def batch_of(rows):
-            cols = [pa.array([r[0] for r in rows], pa.binary())]
-            if not final:
-                cols.append(pa.array([r[1] for r in rows], pa.binary()))
-            cols += [pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())]
-            return pa.RecordBatch.from_arrays(cols, ["_key", *["_bytes"] * (not final), "owner", "copies"])
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            return pa.RecordBatch.from_arrays(cols, ["_key", "_bytes", "owner", "owner_rows", "copies"])
 
+        trie = PatriciaTrie(_best, budget, _local_folder())
         for batch in base.gathered(batches):
-            for key, text, owner, count in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                trie.add(key + text, owner, count)
+            for key, text, owner, owner_rows, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                trie.add(text, (owner, owner_rows, key), copies)
             if not final and trie.spills:  # a full map-side trie passes on what it has
-                for rows in emit():
-                    yield batch_of(rows)
-                trie = PatriciaTrie(_later, budget, _local_folder())
-        for rows in emit():
-            yield batch_of(rows)
+                yield from emit(trie)
+                trie = PatriciaTrie(_best, budget, _local_folder())
+        yield from emit(trie)
 
     return run
 
 
-def exact_duplicates(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 of every row of docs (doc_id, text).
+def _sha(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256))
 
-    budget: bytes of a task's trie before it spills.
-    """
+
+def _key(text: Column) -> Column:
+    """SHA-256, and a second hash: 40 bytes."""
+    return F.concat(_sha(text), F.unhex(F.lpad(F.hex(F.xxhash64(text)), 16, "0")))
+
+
+def _owners(docs: DataFrame, budget: int) -> tuple[DataFrame, DataFrame]:
+    """Tables of all rows (doc_id, _length, _key, _row) and of the texts that come more than once (_key, owner, owner_rows, copies, _first)."""
     spark = docs.sparkSession
     base.ship(spark)
-    text = base.text_of()
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_text"))
-    keyed = plain.select("doc_id", F.octet_length("_text").cast("long").alias("_length"), F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), base.text_of().alias("_text"))
+    keyed = plain.select("doc_id", F.octet_length("_text").cast("long").alias("_length"), _key(F.col("_text")).alias("_key"))
     rows = base.table(keyed.withColumn("_row", F.monotonically_increasing_id()), "dedup-keys")
-    groups = rows.groupBy("_length", "text_sha256").agg(F.count("*").alias("_n"), F.max(F.struct("doc_id", "_row")).alias("_last"))
-    many = base.table(groups.where("_n > 1").select("_length", "text_sha256", "_n", F.col("_last._row").alias("_keep_row")), "dedup-groups")
-    n = many.count()
-    place = F.pmod(F.xxhash64("_length", "text_sha256"), F.lit(FILTER_PLACES))
-    wanted = many.select(place.alias("_place")).distinct()  # at most FILTER_PLACES rows
-    texts = plain.select("doc_id", "_text", F.octet_length("_text").cast("long").alias("_length"), F.sha2(F.col("_text").cast("binary"), 256).alias("text_sha256"))
-    texts = texts.withColumn("_place", place).join(F.broadcast(wanted), "_place", "left_semi")
-    key = F.unhex("text_sha256")
-    merged = texts.select(key.alias("_key"), F.col("_text").cast("binary").alias("_bytes"), F.col("doc_id").alias("owner"), F.lit(1).cast("long").alias("copies")).mapInArrow(_tries(False, budget), "_key binary, _bytes binary, owner long, copies long")
+    # a key that one row has needs no trie: such a text owns itself
+    many = base.table(rows.groupBy("_length", "_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key"), "dedup-groups")
+    texts = base.passing(plain.select("doc_id", "_text", _key(F.col("_text")).alias("_key")), F.col("_key"), many)
+    kind = "_key binary, _bytes binary, owner long, owner_rows long, copies long"
+    one = F.lit(1).cast("long")
+    merged = texts.select("_key", F.col("_text").cast("binary").alias("_bytes"), F.col("doc_id").alias("owner"), one.alias("owner_rows"), one.alias("copies")).mapInArrow(_tries(False, budget), kind)
     spread = merged.repartition(base.parts(spark), F.octet_length("_bytes"), "_key")
-    owners = spread.mapInArrow(_tries(True, budget), "_key binary, owner long, copies long")
-    owners = owners.select(F.lower(F.hex("_key")).alias("text_sha256"), "owner", "copies")
-    ok = F.when(F.col("copies") == F.col("_n"), F.col("owner")).otherwise(F.raise_error("texts of one SHA-256 differ").cast("long"))
-    facts = base.table(many.join(owners, "text_sha256").select("_length", "text_sha256", "_n", "_keep_row", ok.alias("_owner"), "copies"), "dedup-owners")
-    out = base.attach(rows, facts, ["_length", "text_sha256"], "_n")
-    return out.select("doc_id", F.when(F.col("_n").isNull(), F.col("doc_id")).otherwise(F.col("_owner")).alias("keep_id"), F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"), F.coalesce(F.col("_row") == F.col("_keep_row"), F.lit(True)).alias("kept"), "text_sha256")
+    owners = base.table(spread.mapInArrow(_tries(True, budget), kind).drop("_bytes").where("copies > 1"), "dedup-owners")
+    twice = owners.groupBy("_key").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if (twice or 0) > 1:
+        raise RuntimeError("different texts share both hashes")
+    # where an id comes more than once in its group, the first of its rows stays
+    again = base.table(owners.where("owner_rows > 1").select("_key", "owner", "copies"), "dedup-repeats")
+    first = base.attach(base.passing(rows, F.col("_key"), again.select("_key")), again, ["_key"], "copies", "inner").where(F.col("doc_id").eqNullSafe(F.col("owner")))
+    first = first.groupBy("_key").agg(F.min("_row").alias("_first"))
+    return rows, base.table(owners.join(first, "_key", "left"), "dedup-facts")
+
+
+def exact_duplicates(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row of docs (doc_id, text).
+
+    budget: bytes of a task's trie before it spills.
+    """
+    rows, facts = _owners(docs, budget)
+    out = base.attach(rows, facts, ["_key"], "copies")
+    alone = F.col("copies").isNull()
+    kept = alone | F.when(F.col("_first").isNotNull(), F.col("_row") == F.col("_first")).otherwise(F.col("doc_id").eqNullSafe(F.col("owner")))
+    sha = F.lower(F.hex(F.substring("_key", 1, 32)))
+    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("owner")).alias("keep_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), sha.alias("text_sha256"))
 
 
-def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, budget: int = 64 << 20) -> DataFrame:
     """docs without the copies that exact_duplicates() doesn't keep."""
-    found = exact_duplicates(docs).where("kept and group_size > 1")
-    contested = base.table(found.select(F.unhex("text_sha256").alias("key"), F.col("doc_id").alias("keeper"), F.lit(True).alias("keeps"), F.col("group_size").alias("n")), "contested")
-    return base.retain(docs, F.unhex(F.sha2(base.text_of().cast("binary"), 256)), contested)
+    _, facts = _owners(docs, budget)
+    contested = base.table(facts.select(F.col("_key").alias("key"), F.col("owner").alias("keeper"), F.lit(True).alias("keeps"), F.col("copies").alias("n")), "contested")
+    return base.retain(docs, _key(base.text_of()), contested)

@@ -70,6 +70,21 @@ def test_op5_repeated_rows_null_ids_and_no_rows(spark):
     assert exact_duplicates(docs.limit(0)).count() == 0 and drop_exact_duplicates(docs.limit(0)).count() == 0
 
 
+def test_op5_texts_of_one_sha_are_told_apart(spark, monkeypatch):
+    from lodestone.llm import exact_dedup
+
+    monkeypatch.setattr(exact_dedup, "_sha", lambda text: F.unhex(F.lit("00" * 32)))
+    docs = documents(spark)
+    groups = {}
+    for r in docs.collect():
+        groups.setdefault(r.text or "", []).append(r.doc_id)
+    want = {d: (max(g), len(g), d == max(g)) for g in groups.values() for d in g}
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_duplicates(docs, budget=20_000).collect()} == want
+    monkeypatch.setattr(exact_dedup, "_key", lambda text: F.unhex(F.lit("00" * 40)))
+    with pytest.raises(RuntimeError):
+        exact_duplicates(docs)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000, 1001 + i) for i in range(200)] + [(2000 + i, 2001 + i) for i in range(60)]
