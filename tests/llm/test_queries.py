@@ -5,7 +5,7 @@ import pytest
 
 from lodestone.llm.queries import ORACLE_SQL, QUERIES
 
-COUNTED = {"op3_url_filter": "pages", "op10_embedding_dedup": "embeddings"}
+COUNTED = {"op3_url_filter": "pages", "urls_ruled": "pages", "op10_embedding_dedup": "embeddings"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
