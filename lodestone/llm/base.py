@@ -6,7 +6,7 @@ import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -55,11 +55,17 @@ def gathered(batches: Iterator[pa.RecordBatch], limit: int = 0) -> Iterator[pa.R
         trim()
 
 
-def whole_runs(batches: Iterator[pa.RecordBatch], names: list[str], keys: int, limit: int = 0) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+def _array(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], names: list[str], keys: int, limit: int = 0, get: Callable[[pa.RecordBatch, str], np.ndarray] = _array) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
     """Columns of sorted batches with the bounds of runs that agree in the first `keys` columns; no run is parted."""
     rest: list[np.ndarray] | None = None
     for batch in gathered(batches, limit):
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if not len(batch):
+            continue
+        cols = [get(batch, c) for c in names]
         if rest is not None and len(rest[0]):
             cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
         at = bounds(cols, keys)

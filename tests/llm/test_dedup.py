@@ -1,6 +1,7 @@
 """Operators 5, 9 and 10 against brute force on small tables with nulls, ties, repeats, and hot groups."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -181,6 +182,57 @@ def test_op9_defaults_against_pairs_at_the_threshold(spark):
     assert {r.doc_id: (r.class_id, r.n_copies, r.n_links, r.group_id) for r in near_duplicates(docs).collect()} == want
 
 
+def test_op9_a_family_is_never_a_table_of_its_pairs(spark, monkeypatch):
+    rng = random.Random(23)
+    words, texts = [f"w{i}" for i in range(60)], []
+    for i in range(400):  # 79,800 pairs, all of them links
+        t = list(words)
+        t[rng.randrange(60)] = f"x{i}"
+        texts.append(" ".join(t))
+    made, table = {}, base.table
+
+    def counting(df, name, codec=None):
+        out = table(df, name, codec)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(base, "table", counting)
+    found = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()
+    assert {(r.n_links, r.group_id) for r in found} == {(399, 0)} and len(found) == 400
+    assert max(made.values()) < 79_800 / 4, made
+
+
+def test_op9_sketches_in_buckets_against_all_pairs():
+    rng = np.random.default_rng(0)
+    places, lens = 207, [2, 3, 300, 40, 500, 130]
+    weak, strong = ngram_join.least_matches(places, 0.5), 118
+    below = sum(math.comb(places, k) for k in range(weak)) / 2**places
+    assert below <= ngram_join.SKETCH_LOSS < below + math.comb(places, weak) / 2**places
+    families = rng.integers(0, 256, (6, places), dtype=np.uint8)
+    parts = [np.where(rng.random((n, places)) < rng.choice([0.3, 0.6, 0.75, 0.95], (n, 1)), families[rng.integers(0, 6, n)], rng.integers(0, 256, (n, places), dtype=np.uint8)) for n in lens]
+    sketch, at = np.concatenate(parts), np.concatenate(([0], np.cumsum(lens)))
+    own, crossed = rng.integers(0, 2, len(sketch)), np.repeat([False, False, False, False, True, False], lens)
+    ok = lambda x, y: ~crossed[x] | (own[x] != own[y])
+    pairs, ties = set(), []
+    for p in range(len(sketch)):
+        q = np.arange(p + 1, at[np.searchsorted(at, p, side="right")])
+        q = q[ok(np.full(len(q), p), q)]
+        matches = (sketch[q] == sketch[p]).sum(axis=1)
+        pairs |= {(p, int(k)) for k in q[matches >= weak]}
+        ties += [(p, int(k)) for k in q[matches >= strong]]
+
+    def labels(u, v):
+        out = np.arange(len(sketch))
+        u, v = base.spanning(u, v)
+        out[u] = v
+        return out
+
+    want = labels(*np.array(ties).T)
+    x, y, tied = ngram_join.near_pairs(sketch, at, ok, weak, strong)
+    assert (labels(x[tied], y[tied]) == want).all() and tied.sum() < len(sketch)
+    assert {(min(a, b), max(a, b)) for a, b in zip(x[~tied].tolist(), y[~tied].tolist(), strict=True)} == {(a, b) for a, b in pairs if want[a] != want[b]}
+
+
 def test_op9_repeats_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, "x")], "doc_id long, text string")
     found = sorted((str(r.doc_id), str(r.class_id), r.n_copies, r.kept) for r in near_duplicates(docs).collect())
