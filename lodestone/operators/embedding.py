@@ -38,13 +38,16 @@ class Embedder(Protocol):
 
 
 class HashingEmbedder:
-    """Signed word counts in places told by SHA-256, normalised; a text without words points along the first axis."""
+    """Signed word counts in places told by SHA-256, normalised; a text without words, or whose counts cancel, points along the first axis.
+
+    axis: False leaves such a text the zero vector.
+    """
 
     max_tokens = 1 << 30
 
-    def __init__(self, dimensions: int = 64):
-        self.dimensions, self.model_id, self.revision = dimensions, "hashing", "1"
-        self.fingerprint = hashlib.sha256(f"hashing|1|{dimensions}".encode()).hexdigest()
+    def __init__(self, dimensions: int = 64, axis: bool = True):
+        self.dimensions, self.axis, self.model_id, self.revision = dimensions, axis, "hashing", "1"
+        self.fingerprint = hashlib.sha256(f"hashing|1|{dimensions}{'' if axis else '|zero'}".encode()).hexdigest()
 
     def place(self, word: str) -> tuple[int, float]:
         h = hashlib.sha256(word.encode()).digest()
@@ -76,7 +79,8 @@ class HashingEmbedder:
             at = np.repeat(np.arange(len(texts)), sizes) * self.dimensions + place[words, 0].astype(np.int64)
             out = np.bincount(at, weights=place[words, 1], minlength=out.size).reshape(out.shape)
         norms = np.sqrt((out * out).sum(axis=1))
-        out[norms == 0, 0] = 1.0
+        if self.axis:
+            out[norms == 0, 0] = 1.0
         norms[norms == 0] = 1.0
         return (out / norms[:, None]).astype(np.float32)
 
